@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, rules, tokenstore
+from . import chat, mixing, pu, rules, tokenstore
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -26,6 +26,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *rules.BASE, "base_failed", "kept", "anomaly")
@@ -44,7 +52,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op6_quality_rules, op7_chat_formatting, op10_token_output)
+    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
 }
 
 OP1_SQL = r"""
