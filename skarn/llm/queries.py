@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, neardup, pu, rules, tokenstore
+from . import chat, decontam, mixing, neardup, pu, rules, tokenstore
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -38,6 +38,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", *rules.BASE, "base_failed", "kept", "anomaly")
@@ -56,7 +60,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op4_ngram_jaccard_join, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
+    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op4_ngram_jaccard_join, op5_decontamination, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
 }
 
 OP1_SQL = r"""
