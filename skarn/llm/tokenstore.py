@@ -19,10 +19,12 @@ own; an empty table gives no file; other columns of the input are not looked at,
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +124,7 @@ class FrameReader:
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer's pieces never hold white space, so each distinct run between ASCII white space is encoded once and kept."""
+    """Ids of whole texts, from the ids of their distinct parts, which are encoded once and kept up to a number of parts."""
 
     def __init__(self, path: str, most_kept: int = 400_000) -> None:
         from tokenizers import Tokenizer
@@ -132,32 +134,53 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.ids, self.ends = {}, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.n_ids = 0
+        self.known, self.ids, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            k, to = len(self.known), self.n_ids + len(e.ids)
-            if k + 1 >= len(self.ends):
-                self.ends = np.resize(self.ends, 2 * len(self.ends))
-            if to > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * to)
-            self.ids[self.n_ids : to] = e.ids
-            self.n_ids = self.ends[k + 1] = to
-            self.known[w] = k
-
-    def encode(self, text: bytes) -> np.ndarray:
-        words = text.split()
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        ends = self.ends[-1] + np.cumsum([len(x) for x in found])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self.ends = np.concatenate([self.ends, ends])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        words = [_split(x) for x in texts]
+        new = set(chain.from_iterable(words)).difference(self.known)
         if new:
             if len(self.known) > self.most:
                 self._clear()
-                new = list(dict.fromkeys(words))
-            self._learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                new = set(chain.from_iterable(words))
+            self._learn(list(new))
+        n = np.cumsum([len(x) for x in words])
+        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(n[-1]) if len(n) else 0)
         starts, lengths = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-        shift = starts - (np.cumsum(lengths) - lengths)
-        return self.ids[np.repeat(shift, lengths) + np.arange(lengths.sum())]
+        to = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.ids[np.repeat(starts - to[:-1], lengths) + np.arange(to[-1])]
+        return np.split(ids, to[n[:-1]]) if texts else []
+
+
+_MARKS_AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+(?:[\x09-\x0d ]|\Z))")
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Parts that the tokenizer would never join: it lower-cases, and divides at white space and between letters and marks.
+
+    A text that may hold a special token's string, which is matched as written, is divided at white space alone.
+    """
+    if b"<|" in text:
+        return text.split()
+    return _MARKS_AFTER_LETTER.sub(b" ", text.lower()).split()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps what it has learnt from one task to the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -183,11 +206,12 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int, folder:
                     fs, root = _file_system(folder)
                     fs.create_dir(root)
                     own = f"{root}/.writing-{uuid.uuid4().hex}"
-                    file, encoder = fs.open_output_stream(own), Encoder(tokenizer_path)
+                    file = fs.open_output_stream(own)
                     writer = FrameWriter(file)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()), strict=True):
-                    writer.add(doc_id, np.append(encoder.encode(text.as_py() or b""), np.uint32(end_id)))
-                    n += 1
+                texts = [x or b"" for x in part.column(1).cast(pa.large_binary()).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer_path).encode(texts), strict=True):
+                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                n += len(texts)
         if writer is not None:
             writer.close()
             size = file.tell()
