@@ -41,8 +41,7 @@ def _quoted(word: str) -> str:
 
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _GAP + "+"))
+    return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP + "+"), lambda x: x != "")
 
 
 def template(text: Column) -> Column:
@@ -59,9 +58,13 @@ def _is_slot(word: Column) -> Column:
 
 
 def _hashes(template_words: Column, width: int) -> Column:
-    """Hash of each window of width words; an empty array if there are fewer."""
-    n = F.size(template_words) - (width - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(template_words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    """Hash of each window of width words; an empty array if there are fewer.
+
+    The hashed words are bound to a lambda's variable, so that they are made once for a text and not for each window.
+    """
+    hashed = F.transform(template_words, lambda x: F.xxhash64(x))
+    windows = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, width)))
+    return F.flatten(F.transform(F.filter(F.array(hashed), lambda h: F.size(h) >= width), windows))
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -73,7 +76,7 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     parts = parts.withColumn("slots", F.size(F.filter("part", _is_slot))).where(2 * F.col("slots") <= F.col("span"))
     counts = parts.groupBy("item_id", "item_hash").agg(F.count("*").alias("windows")).withColumnsRenamed({"item_id": "_id", "item_hash": "_hash"})
     parts = parts.join(counts, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_hash") == F.col("_hash")))
-    return parts.select("item_id", "item_hash", "windows", "span", "at", "slots", F.xxhash64("part").alias("window"))
+    return parts.select("item_id", "item_hash", "windows", "span", "at", "slots", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("window"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:

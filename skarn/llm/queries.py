@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, pu, rules, tokenstore
+from . import chat, decontam, mixing, neardup, pages, pu, rules, tokenstore
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -26,6 +26,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_quality_classifier, op4_ngram_jaccard_join, op5_decontamination, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
+    f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_decontamination, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
 }
 
 OP1_SQL = r"""
