@@ -139,4 +139,4 @@ def _inconsistent(documents: DataFrame, benchmark: DataFrame, hits: DataFrame) -
 def clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of documents into which no item is leaked."""
     bad = store.cut(leaks(documents, benchmark, **how).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    return documents.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")

@@ -142,7 +142,7 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3))
     counted = rows.join(copies, ["s", "bucket", "n"], "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("copies", F.lit(0))))
     counted = counted.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"), F.max("s").alias("_s"), F.min("s").alias("_s0"))
     counted = counted.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    found = documents.join(counted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
+    found = documents.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
     single = found.where("_rows = 1")
     several = found.where("_rows > 1").dropDuplicates(["_doc", "_hash"])
     out = single.unionByName(several).where("_copies > 0")

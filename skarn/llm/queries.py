@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, pages, pu, rules, tokenstore
+from . import chat, decontam, lm, mixing, neardup, pages, pu, rules, tokenstore
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
@@ -34,6 +34,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_model(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -64,7 +68,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_decontamination, op6_quality_rules, op7_chat_formatting, op9_toxicity, op10_token_output)
+    f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_quality_classifier, op4_ngram_jaccard_join, op5_decontamination, op6_quality_rules, op7_chat_formatting, op8_lm_scoring, op9_toxicity, op10_token_output)
 }
 
 OP1_SQL = r"""
