@@ -31,7 +31,7 @@ from .textbatch import Texts, mix, pieces
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.995
 TREES, LONGEST = 24, 12
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
 
 
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, longest: int = LONGEST) -> int:
@@ -211,7 +211,7 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, recall: flo
     placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")))
     placed = store.cut(placed.select("cluster", "blocks", "block", "set_id", "copies", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash")), "placed")
     wanted = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("_text"))
-    wanted = wanted.join(placed, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cluster", "blocks", "block", "set_id", "copies", "_text")
+    wanted = wanted.join(placed.hint("merge"), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cluster", "blocks", "block", "set_id", "copies", "_text")
 
     def reshingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,6 +245,6 @@ def one_of_each(documents: DataFrame, **how) -> DataFrame:
     keep = classed.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_hash")).alias("_null")).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
     keep = store.cut(keep.select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"), "n"), "kept")
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
+    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
     alone, several = full.where("n = 1"), full.where("n > 1").dropDuplicates(["_doc", "_hash"])
     return alone.unionByName(several).select(*documents.columns).unionByName(blank.select(*documents.columns))
