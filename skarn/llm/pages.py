@@ -180,15 +180,13 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.2,
 
 
 def choose(blocks: list[Block], main: str | None, constant: set[int]) -> str:
-    """The kept blocks of the main path; else of article elements; else all but the template's text."""
+    """The kept blocks of the main path; else of article elements; else all. The template's text is left out, but for that of articles."""
     kept = [b for b in blocks if b.kept]
     inside = [b for b in kept if main and (b.path == main or b.path.startswith(f"{main}/"))]
     articles = [b for b in kept if b.article]
     if articles and not any(b.article for b in inside):
         inside = articles
-    if not inside:
-        inside = [b for b in kept if _hash("text", b.path, b.text) not in constant]
-    return "\n\n".join(b.text for b in inside)
+    return "\n\n".join(b.text for b in inside or kept if b.article or _hash("text", b.path, b.text) not in constant)
 
 
 def extract(pages: DataFrame) -> DataFrame:
