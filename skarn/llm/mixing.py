@@ -140,10 +140,10 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3))
     rows, pieces = mix(documents, weights)
     copies = pieces.where("from_word = 0").groupBy("s", "bucket", "n").agg(F.count("*").alias("copies"))
     counted = rows.join(copies, ["s", "bucket", "n"], "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("copies", F.lit(0))))
-    counted = counted.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"), F.max("s").alias("_s"), F.min("s").alias("_s0"))
-    counted = counted.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_hash"})
-    found = documents.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
-    single = found.where("_rows = 1")
-    several = found.where("_rows > 1").dropDuplicates(["_doc", "_hash"])
-    out = single.unionByName(several).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    counted = counted.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_skarn_copies"), F.count("*").alias("_skarn_rows"))
+    counted = counted.withColumnsRenamed({"doc_id": "_skarn_doc", "text_hash": "_skarn_hash"})
+    found = documents.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")))
+    single = found.where("_skarn_rows = 1")
+    several = found.where("_skarn_rows > 1").dropDuplicates(["_skarn_doc", "_skarn_hash"])
+    out = single.unionByName(several).where("_skarn_copies > 0")
+    return out.withColumn("_skarn_copy", F.explode(F.sequence(F.lit(1), F.col("_skarn_copies").cast("int")))).select(*documents.columns)

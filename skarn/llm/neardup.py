@@ -243,8 +243,8 @@ def one_of_each(documents: DataFrame, **how) -> DataFrame:
     found = jaccard_join(documents, **how)
     classed = found.where("n_shingles > 0")
     keep = classed.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_hash")).alias("_null")).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
-    keep = store.cut(keep.select(F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"), "n"), "kept")
+    keep = store.cut(keep.select(F.col("row.doc_id").alias("_skarn_doc"), F.col("row.text_hash").alias("_skarn_hash"), F.col("n").alias("_skarn_n")), "kept")
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")))
-    alone, several = full.where("n = 1"), full.where("n > 1").dropDuplicates(["_doc", "_hash"])
+    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")))
+    alone, several = full.where("_skarn_n = 1"), full.where("_skarn_n > 1").dropDuplicates(["_skarn_doc", "_skarn_hash"])
     return alone.unionByName(several).select(*documents.columns).unionByName(blank.select(*documents.columns))
