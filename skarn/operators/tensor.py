@@ -79,3 +79,21 @@ def mean_rgb(pixels: Column) -> Column:
     """Mean of each channel of an array of interleaved red, green, blue values."""
     n = F.size(pixels) / 3
     return F.array(*(F.try_divide(F.aggregate(F.filter(pixels, lambda x, i, k=k: i % 3 == k), F.lit(0.0), lambda s, x: s + x), n) for k in range(3)))
+
+
+def truncated_normal(count: int, deviation: float = 0.1, seed: int = 0) -> list[float]:
+    """First weights of a layer: normal draws, drawn again beyond two deviations."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    out = rng.normal(0, deviation, count)
+    while (far := np.abs(out) > 2 * deviation).any():
+        out[far] = rng.normal(0, deviation, int(far.sum()))
+    return out.tolist()
+
+
+def dropout(a: Column, keep: float, seed: int = 0) -> Column:
+    """All values at keep 1, as in evaluation; else each kept with that chance and scaled up."""
+    if keep >= 1:
+        return a
+    return F.transform(a, lambda x, i: F.when(F.pmod(F.xxhash64(F.lit(seed), i, x), F.lit(1 << 20)) < int(keep * (1 << 20)), x / keep).otherwise(0.0))

@@ -112,3 +112,10 @@ def train(df: DataFrame, key: str, model: str, numeric: list[str], categorical:
     }
     split.unpersist()
     return fitted, record
+
+
+def feature_names(model: PipelineModel, df: DataFrame) -> list[str]:
+    """Names of the places of the features vector, from its metadata; empty if there is none."""
+    meta = model.transform(df).schema["features"].metadata.get("ml_attr", {})
+    found = sorted((a["idx"], a.get("name", str(a["idx"]))) for group in meta.get("attrs", {}).values() for a in group)
+    return [name for _, name in found]

@@ -85,3 +85,11 @@ def test_fit_beats_chance(spark, model):
     params = {"max_iter": 50} if model == "logistic_regression" else {"n_estimators": 5}
     fitted = training.pipeline(df, model, list(synthetic.NUMERIC), list(synthetic.CATEGORICAL), "churn", params).fit(df)
     assert training.evaluate(fitted, df, "churn")["roc_auc"] > 0.6
+
+
+def test_dropout_and_first_weights(spark):
+    df = spark.range(400).select(F.array(F.col("id").cast("double") + 1).alias("v"))
+    kept = df.where(F.get(tensor.dropout(F.col("v"), 0.5, 3), F.lit(0)) > 0).count()
+    assert 140 < kept < 260 and df.where(tensor.dropout(F.col("v"), 1.0) == F.col("v")).count() == 400
+    weights = tensor.truncated_normal(500)
+    assert max(map(abs, weights)) <= 0.2 and np.std(weights) > 0.05
