@@ -17,6 +17,7 @@ TARGET = "churn"
 def churn(spark: SparkSession, rows: int = 5000, churn_rate: float = 0.27, seed: int = 42) -> DataFrame:
     """Customers whose logit of churn falls with tenure and long contracts and rises with charges and tickets."""
     u = lambda k: F.rand(seed * 31 + k)
+    # The categories and the ranges of the numeric columns.
     df = spark.range(rows).select(
         F.col("id").alias("customer_id"),
         choice(u(1), [("Month-to-month", 0.55), ("One year", 0.25), ("Two year", 0.2)]).alias("contract_type"),

@@ -55,6 +55,7 @@ def pipeline(train: DataFrame, model: str, numeric: list[str], categorical: list
 
 def suggest(model: str, rng: random.Random) -> dict:
     """A random draw from the model's search space."""
+    # The ranges of each parameter.
     log = lambda a, b: math.exp(rng.uniform(math.log(a), math.log(b)))
     if model == "logistic_regression" or model == "linear_svm":
         return {"C": log(1e-3, 10)}
