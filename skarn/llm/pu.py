@@ -170,7 +170,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, features: Callable[
     store.ship(spark)
     marked = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null")
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
-    chosen = marked.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(rows)
+    chosen = store.least_hashes(store.cut(marked, "labels"), "_id", rows, seed)
     total = max(1, documents.count())
     drawn = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1 << 30)) < int(min(1.0, rows / total) * (1 << 30)), F.lit(False))
     df = documents.select("doc_id", F.col("text").alias("_text"), drawn.alias("_u")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left")  # at most `rows` rows

@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_FOLDER = "file:///tmp/checkpoints/skarn"
@@ -35,6 +36,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least_hashes(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """At most so many rows of df, those with the least hash of key; ties by all columns.
+
+    A threshold on the hash leaves half as many again at first, so that few rows are sorted at any size of df.
+    """
+    total = max(1, df.count())
+    share, h = min(1.0, (1.5 * rows + 100) / total), F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
+    return df.where(h < int(share * (1 << 40))).orderBy(h, *df.columns).limit(rows)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this library from the driver's path, if it isn't installed on them."""
     root = str(Path(__file__).resolve().parents[2])
