@@ -1,11 +1,12 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
-Every word of a text becomes a template word: words with a digit become a number placeholder, a known unit right after
-one a unit placeholder, a capitalised word inside a sentence a name placeholder, all others their lower-case form.
-Windows of eight template words of the documents are joined by hash to those of the benchmark items. Where both sides
-have a placeholder, the words it stands for must map one way: along one alignment of item and document, an item's word
-always meets the same word of the document. An item is leaked into a document if consistent alignments cover at least
-half of its windows.
+A text is looked at in three forms, word by word, whatever the white space between them. In the literal form a word is
+its lower-case form. In the other two, words with a digit become a number placeholder, a known unit right after one a
+unit placeholder, and names a name placeholder: each word with a capital first letter in the wide form, only
+capitalised words inside a sentence in the inner form. Windows of eight words of the documents are joined by hash to
+those of the benchmark items, in each form. Where both sides have a placeholder, the words it stands for must map one
+way: along one alignment of item and document in one form, an item's word always meets the same word of the document.
+An item is leaked into a document if literal windows and consistent alignments cover at least half of its windows.
 
 Defined cases: null and empty texts have no windows; items of fewer than eight words are one window of all their words,
 looked for at that width; windows with fewer literal words than placeholders are not used, so an item of placeholders
@@ -32,6 +33,9 @@ UNITS = (
     "mph kph km/h m/s percent % degree degrees celsius fahrenheit dollar dollars cent cents euro euros $ € £ usd eur gbp"
 ).split()
 _GAP, _INK = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: Forms of a text.
+WIDE, INNER, LITERAL = FORMS = range(3)
+_NAMES = {WIDE: r"(?<![^\x20])[^\p{L}\x20]*+\p{Lu}[^\x20]*+", INNER: r"(?<=[^.!?:\x20][\x20])\p{Lu}\p{Ll}[^\x20]*+"}
 _EDGE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
@@ -44,15 +48,21 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _GAP + "+"), lambda x: x != "")
 
 
-def template(text: Column) -> Column:
-    """text with its words made template words; the same number of words, at the same places."""
-    t = F.translate(text, "\u0001", " ")
-    t = F.regexp_replace(t, f"(?<!{_INK})[^\\x20\\x09-\\x0D0-9]*+[0-9]{_INK}*+", NUMBER)
-    t = F.regexp_replace(t, f"({NUMBER}{_GAP}+)(?i:{'|'.join(map(_quoted, sorted(UNITS, key=len, reverse=True)))})[.,;:!?)]*+(?!{_INK})", f"$1{UNIT}")
-    t = F.regexp_replace(t, rf"(?<=[^.!?:\x20\x09-\x0D][\x20])\p{{Lu}}\p{{Ll}}{_INK}*+", NAME)
+def template(text: Column, form: int) -> Column:
+    """text in this form, one space between words; the same number of words, in the same order."""
+    t = F.trim(F.regexp_replace(F.translate(text, "\u0001", " "), _GAP + "+", " "))
+    if form != LITERAL:
+        t = F.regexp_replace(t, f"(?<!{_INK})[^\\x20\\x09-\\x0D0-9]*+[0-9]{_INK}*+", NUMBER)
+        t = F.regexp_replace(t, f"({NUMBER}{_GAP}+)(?i:{'|'.join(map(_quoted, sorted(UNITS, key=len, reverse=True)))})[.,;:!?)]*+(?!{_INK})", f"$1{UNIT}")
+        t = F.regexp_replace(t, _NAMES[form], NAME)
     return F.lower(t)
 
 
+def _forms(text: Column) -> Column:
+    """The words of text in each form."""
+    return F.array(*(words(template(text, f)) for f in FORMS))
+
+
 def _is_slot(word: Column) -> Column:
     return word.startswith("\u0001")
 
@@ -68,28 +78,29 @@ def _hashes(template_words: Column, width: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, item_hash, windows (usable ones of the item), span (words in each), at (first word, from 0), slots, window."""
-    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), words(template(F.col("text"))).alias("w"), words(F.translate("text", "\u0001", " ")).alias("raw")).where("size(w) > 0").dropDuplicates(["item_id", "item_hash"])
-    items = items.withColumn("span", F.least(F.size("w"), F.lit(width)))
+    """item_id, item_hash, windows (usable ones of the item), form, span (words in each), at (first word, from 0), slots, window."""
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), _forms(F.col("text")).alias("forms")).where(F.size(F.get("forms", F.lit(LITERAL))) > 0).dropDuplicates(["item_id", "item_hash"])
+    items = items.select("item_id", "item_hash", F.get("forms", F.lit(INNER)).alias("inner"), F.posexplode("forms").alias("form", "w")).withColumn("span", F.least(F.size("w"), F.lit(width)))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - F.col("span")))
     parts = items.withColumn("at", at).withColumn("part", F.slice("w", F.col("at") + 1, F.col("span")))
-    parts = parts.withColumn("slots", F.size(F.filter("part", _is_slot))).where(2 * F.col("slots") <= F.col("span"))
-    counts = parts.groupBy("item_id", "item_hash").agg(F.count("*").alias("windows")).withColumnsRenamed({"item_id": "_id", "item_hash": "_hash"})
+    few = lambda w: 2 * F.size(F.filter(w, _is_slot)) <= F.col("span")
+    parts = parts.withColumn("slots", F.size(F.filter("part", _is_slot))).where(few("part") & few(F.slice("inner", F.col("at") + 1, F.col("span"))))
+    counts = parts.groupBy("item_id", "item_hash").agg(F.count_distinct("at").alias("windows")).withColumnsRenamed({"item_id": "_id", "item_hash": "_hash"})
     parts = parts.join(counts, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_hash") == F.col("_hash")))
-    return parts.select("item_id", "item_hash", "windows", "span", "at", "slots", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("window"))
+    return parts.select("item_id", "item_hash", "windows", "form", "span", "at", "slots", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("window"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_hash, item_id, matched, windows: a row for each document and item that is leaked into it.
 
-    matched: how many of the item's windows consistent alignments cover.
+    matched: how many of the item's windows literal windows and consistent alignments cover.
     """
     items = store.cut(item_windows(benchmark, width), "item-windows")
     spans = sorted(r.span for r in items.select("span").distinct().collect())  # at most `width` numbers
-    known = items.select("item_id", "item_hash", "windows", "at", "slots", F.col("window").alias("_window"), F.col("span").alias("_span"))
+    known = items.select("item_id", "item_hash", "windows", "form", "at", "slots", F.col("window").alias("_window"), F.col("span").alias("_span"))
     if items.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words(template(F.col("text"))).alias("w"))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_forms(F.col("text"))).alias("w"))
     hits = []
     for span in spans:
         one = docs.select("doc_id", "text_hash", F.posexplode(_hashes(F.col("w"), span)).alias("place", "window"))
@@ -100,7 +111,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
     for more in hits[1:]:
         found = found.unionByName(more)
     found = found.withColumn("shift", F.col("place") - F.col("at"))
-    keys = ["doc_id", "text_hash", "item_id", "item_hash", "shift"]
+    keys = ["doc_id", "text_hash", "item_id", "item_hash", "form", "shift"]
     found = store.cut(found.select(*keys, "at", "windows", "slots", F.col("_span").alias("span")).dropDuplicates([*keys, "at"]), "window-hits")
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
     enough = found.select(*pair, "at", "windows").distinct().groupBy(*pair, "windows").agg(F.count("*").alias("n")).where(F.col("n") >= coverage * F.col("windows"))
@@ -120,15 +131,15 @@ def _same(names: list[str]) -> Column:
 
 
 def _inconsistent(documents: DataFrame, benchmark: DataFrame, hits: DataFrame) -> DataFrame:
-    """The alignments (document, item, shift) on which one word of the item meets two of the document."""
-    keys = ["doc_id", "text_hash", "item_id", "item_hash", "shift"]
+    """The alignments (document, item, form, shift) on which one word of the item meets two of the document."""
+    keys = ["doc_id", "text_hash", "item_id", "item_hash", "form", "shift"]
     raw = lambda c: words(F.translate(c, "\u0001", " "))
     aligned = hits.select(*keys, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("span") - 1)).alias("i")).distinct()
     docs = documents.select(F.col("doc_id").alias("_doc_id"), F.xxhash64("text").alias("_text_hash"), raw("text").alias("doc_words"))
     wanted = store.cut(hits.select("doc_id", "text_hash").distinct(), "slotted")
     docs = docs.join(wanted, _same(["doc_id", "text_hash"]), "left_semi").dropDuplicates(["_doc_id", "_text_hash"])
-    items = benchmark.select(F.col("item_id").alias("_item_id"), F.xxhash64("text").alias("_item_hash"), raw("text").alias("item_words"), words(template(F.col("text"))).alias("kinds")).dropDuplicates(["_item_id", "_item_hash"])
-    both = aligned.join(items, _same(["item_id", "item_hash"])).where(_is_slot(F.get("kinds", F.col("i"))))
+    items = benchmark.select(F.col("item_id").alias("_item_id"), F.xxhash64("text").alias("_item_hash"), raw("text").alias("item_words"), _forms(F.col("text")).alias("forms")).dropDuplicates(["_item_id", "_item_hash"])
+    both = aligned.join(items, _same(["item_id", "item_hash"])).where(_is_slot(F.get(F.get("forms", F.col("form")), F.col("i"))))
     both = both.select(*keys, "i", F.get("item_words", F.col("i")).alias("ours")).join(docs, _same(["doc_id", "text_hash"]))
     bare = lambda c: F.lower(F.regexp_replace(c, _EDGE, ""))
     both = both.select(*keys, bare(F.col("ours")).alias("ours"), bare(F.get("doc_words", F.col("i") + F.col("shift"))).alias("theirs"))
