@@ -9,8 +9,8 @@ way: along one alignment of item and document in one form, an item's word always
 An item is leaked into a document if literal windows and consistent alignments cover at least half of its windows.
 
 Defined cases: null and empty texts have no windows; items of fewer than eight words are one window of all their words,
-looked for at that width; windows with fewer literal words than placeholders are not used, so an item of placeholders
-alone is never found; null ids are ids like others; documents alike in doc_id and text, and items alike in id and text,
+looked for at that width; windows with fewer literal words than placeholders are looked for in their literal form alone,
+and an item is leaked too if half of its other (light) windows are covered; null ids are ids like others; documents alike in doc_id and text, and items alike in id and text,
 count once; empty tables give no rows; other columns of the inputs are not looked at, whatever their names.
 """
 
@@ -78,26 +78,37 @@ def _hashes(template_words: Column, width: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, item_hash, windows (usable ones of the item), form, span (words in each), at (first word, from 0), slots, window."""
+    """item_id, item_hash, windows (of the item), lights (light ones of them), form, span (words in each), at (first word, from 0), light, slots, window."""
     items = benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), _forms(F.col("text")).alias("forms")).where(F.size(F.get("forms", F.lit(LITERAL))) > 0).dropDuplicates(["item_id", "item_hash"])
     items = items.select("item_id", "item_hash", F.get("forms", F.lit(INNER)).alias("inner"), F.posexplode("forms").alias("form", "w")).withColumn("span", F.least(F.size("w"), F.lit(width)))
     at = F.explode(F.sequence(F.lit(0), F.size("w") - F.col("span")))
     parts = items.withColumn("at", at).withColumn("part", F.slice("w", F.col("at") + 1, F.col("span")))
     few = lambda w: 2 * F.size(F.filter(w, _is_slot)) <= F.col("span")
-    parts = parts.withColumn("slots", F.size(F.filter("part", _is_slot))).where(few("part") & few(F.slice("inner", F.col("at") + 1, F.col("span"))))
-    counts = parts.groupBy("item_id", "item_hash").agg(F.count_distinct("at").alias("windows")).withColumnsRenamed({"item_id": "_id", "item_hash": "_hash"})
+    parts = parts.withColumns({"slots": F.size(F.filter("part", _is_slot)), "light": few(F.slice("inner", F.col("at") + 1, F.col("span")))})
+    parts = parts.where((F.col("form") == LITERAL) | few("part"))
+    counts = parts.where(F.col("form") == LITERAL).groupBy("item_id", "item_hash").agg(F.count("*").alias("windows"), F.count_if("light").alias("lights")).withColumnsRenamed({"item_id": "_id", "item_hash": "_hash"})
     parts = parts.join(counts, F.col("item_id").eqNullSafe(F.col("_id")) & (F.col("item_hash") == F.col("_hash")))
-    return parts.select("item_id", "item_hash", "windows", "form", "span", "at", "slots", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("window"))
+    return parts.select("item_id", "item_hash", "windows", "lights", "form", "span", "at", "light", "slots", F.xxhash64(F.transform("part", lambda x: F.xxhash64(x))).alias("window"))
+
+
+def _covered(found: DataFrame, coverage: float) -> DataFrame:
+    """The pairs of document and item whose hits cover enough of the item's light windows, or else of all, with matched and windows of these."""
+    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
+    n = found.select(*pair, "at", "light", "windows", "lights").distinct().groupBy(*pair, "windows", "lights").agg(F.count("*").alias("all"), F.count_if("light").alias("some"))
+    by_light = (F.col("lights") > 0) & (F.col("some") >= coverage * F.col("lights"))
+    matched, of = F.when(by_light, F.col("some")).otherwise(F.col("all")), F.when(by_light, F.col("lights")).otherwise(F.col("windows"))
+    return n.select(*pair, matched.alias("matched"), of.alias("windows")).where(F.col("matched") >= coverage * F.col("windows"))
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, text_hash, item_id, matched, windows: a row for each document and item that is leaked into it.
 
-    matched: how many of the item's windows literal windows and consistent alignments cover.
+    matched: how many of the item's windows literal windows and consistent alignments cover, of its light windows if half
+    of these are covered, else of all; windows: how many there are.
     """
     items = store.cut(item_windows(benchmark, width), "item-windows")
     spans = sorted(r.span for r in items.select("span").distinct().collect())  # at most `width` numbers
-    known = items.select("item_id", "item_hash", "windows", "form", "at", "slots", F.col("window").alias("_window"), F.col("span").alias("_span"))
+    known = items.select("item_id", "item_hash", "windows", "lights", "form", "at", "light", "slots", F.col("window").alias("_window"), F.col("span").alias("_span"))
     if items.count() <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(_forms(F.col("text"))).alias("w"))
@@ -112,15 +123,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
         found = found.unionByName(more)
     found = found.withColumn("shift", F.col("place") - F.col("at"))
     keys = ["doc_id", "text_hash", "item_id", "item_hash", "form", "shift"]
-    found = store.cut(found.select(*keys, "at", "windows", "slots", F.col("_span").alias("span")).dropDuplicates([*keys, "at"]), "window-hits")
+    found = store.cut(found.select(*keys, "at", "light", "windows", "lights", "slots", F.col("_span").alias("span")).dropDuplicates([*keys, "at"]), "window-hits")
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
-    enough = found.select(*pair, "at", "windows").distinct().groupBy(*pair, "windows").agg(F.count("*").alias("n")).where(F.col("n") >= coverage * F.col("windows"))
-    enough = store.cut(enough.select(*(F.col(c).alias(f"_{c}") for c in pair)), "covered")
+    enough = store.cut(_covered(found, coverage).select(*(F.col(c).alias(f"_{c}") for c in pair)), "covered")
     found = found.join(enough, _same(pair), "left_semi")
     wrong = _inconsistent(documents, benchmark, found.where("slots > 0"))
     sound = found.join(wrong.select(*(F.col(c).alias(f"_{c}") for c in keys)), _same(keys), "left_anti")
-    out = sound.select(*pair, "at", "windows").distinct().groupBy(*pair, "windows").agg(F.count("*").alias("matched"))
-    return out.where(F.col("matched") >= coverage * F.col("windows")).select("doc_id", "text_hash", "item_id", "matched", F.col("windows").cast("long").alias("windows"))
+    return _covered(sound, coverage).select("doc_id", "text_hash", "item_id", "matched", "windows")
 
 
 def _same(names: list[str]) -> Column:

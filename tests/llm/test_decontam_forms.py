@@ -25,3 +25,16 @@ def test_names_in_any_space_case_and_place(spark):
     assert found(spark, docs, {1: ITEM}) == {(d, 1) for d in range(1, 7)}
     start = {1: "Tom has nine grey geese behind his barn."}
     assert found(spark, {1: "Is it so. Ann has nine grey geese behind his barn."}, start) == {(1, 1)}
+
+
+def test_exact_copies_of_placeholders(spark):
+    items = {1: "Convert 5 km to 3 miles", 2: "3 4 5 6 7 8 9 10", 3: "12 kg 7 cm 9 ml 4 kg 88 mm 3 km add to a sum that you know well by now"}
+    docs = {
+        1: f"{FILL} convert 5 km\tto 3 MILES {FILL}",
+        2: "1 2 3 4 5 6 7 8 9 10",
+        3: "1 3 4 5 6 7 8 9 11",
+        4: "Convert 6 km to 3 miles",
+        5: "99 kg 17 cm 91 ml 14 kg 8 mm 33 km add to a sum that you know well by now",
+        6: "12 kg 7 cm 9 ml 4 kg 88 mm 3 km add to a line of other words here",
+    }
+    assert found(spark, docs, items) == {(1, 1), (2, 2), (5, 3), (6, 3)}
