@@ -194,7 +194,14 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
-    """doc_id, text_hash, class_id, n_links, n_shingles for each row of documents.
+    """doc_id, text_hash, class_id, n_links, n_shingles for each row of documents."""
+    return joined(documents, threshold, recall, trees).drop("class")
+
+
+def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
+    """doc_id, text_hash, class, class_id, n_links, n_shingles for each row of documents.
+
+    class: the class itself, by a set_id in it, null without words; classes of repeated or null ids may share a class_id.
 
     n_links: how many other rows have a similarity of threshold or more with it; class_id: the least doc_id of all rows
     that links lead to, one after the other.
@@ -228,10 +235,10 @@ def jaccard_join(documents: DataFrame, threshold: float = THRESHOLD, recall: flo
     known = nodes.select("set_id", "copies", "least").join(links, "set_id", "left").join(classes.withColumnsRenamed({"node": "set_id", "component": "class"}), "set_id", "left")
     known = store.cut(known.withColumn("class", F.coalesce("class", "set_id")), "known")
     least = store.cut(known.groupBy("class").agg(F.min("least").alias("class_id")).withColumnRenamed("class", "_class"), "classes")
-    found = known.join(least, F.col("class") == F.col("_class")).select(F.col("set_id").alias("_set"), "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    found = known.join(least, F.col("class") == F.col("_class")).select(F.col("set_id").alias("_set"), "class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = rows.join(store.cut(found, "found"), F.col("set_id") == F.col("_set"), "left")
     alone = F.col("set_id").isNull()
-    return out.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("shingles").alias("n_shingles"))
+    return out.select("doc_id", "text_hash", "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("shingles").alias("n_shingles"))
 
 
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
@@ -240,9 +247,8 @@ def one_of_each(documents: DataFrame, **how) -> DataFrame:
     Rows without words all stay. Repeated rows alike in doc_id and text are one row afterwards; a class whose ids are
     all null keeps the row with the least text hash.
     """
-    found = jaccard_join(documents, **how)
-    classed = found.where("n_shingles > 0")
-    keep = classed.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("text_hash")).alias("_null")).agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
+    found = joined(documents, **how)
+    keep = found.where("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
     keep = store.cut(keep.select(F.col("row.doc_id").alias("_skarn_doc"), F.col("row.text_hash").alias("_skarn_hash"), F.col("n").alias("_skarn_n")), "kept")
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")))
