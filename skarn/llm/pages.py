@@ -7,7 +7,8 @@ template is what they nest into: the element paths of the class that occurs on e
 the text that belongs to a class and not to a page. What varies inside an element path of the template is a slot. The
 slot with the most varying text becomes the host's main path, preferring paths that are marked as an article.
 
-Extraction then keeps the text blocks of the main path. Blocks in elements that are no reading text (menus, side
+Extraction then keeps the text blocks of the main path, and those of article elements outside it (titles, leads,
+captions, closing sections), but for blocks on every page of a host whose articles differ. Blocks in elements that are no reading text (menus, side
 bars, notices, adverts, forms, comments, scripts, styles) are never kept. Pages without the host's main path, and
 pages of hosts without a valid class, keep the blocks of their own article elements, or of the body, less the host's
 template text.
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ BLOCK = frozenset("html body address article blockquote center dd details div dl
 CLOSES_P = BLOCK - frozenset("html body".split())
 #: Class, id and role words of elements that are no reading text, and of articles.
 NO_TEXT = re.compile(r"(?:ads?|adv|advert\w*|adbox|banner|sidebar|side|menu|nav|navi\w*|breadcrumbs?|footer|masthead|header|cookies?|notices?|consent|promo\w*|sponsor\w*|comments?|replies|respond|share|sharing|social|related|newsletter|subscri\w*|login|signup|popup|modal|disclaimer|toolbar|pagination|pager|widget|complementary|search|contentinfo)")
+#: Those of them that only say where an element is; they say nothing inside an article element.
+PLACES = frozenset("header masthead".split())
 ARTICLE = re.compile(r"(?:article\w*|post|entry|story|main|content|maincontent|postbody|body)")
 
 _TOKEN = re.compile(
@@ -111,7 +114,8 @@ def read_page(source: str) -> tuple[dict[str, int], list[Block]]:
         path = f"{path}/{shown}"
         named = [w for _, ws in marks for w in ws]
         is_article = name in ("article", "main") or any(ARTICLE.fullmatch(w) for w in named) and name not in ("html", "body")
-        no_text = name in SKIPPED or name == "header" and not article or name not in ("html", "body", "article", "main") and any(NO_TEXT.fullmatch(w) for w in named)
+        inner = any(x[0] == "article" for x in stack)
+        no_text = name in SKIPPED or name == "header" and not article or name not in ("html", "body", "article", "main") and any(NO_TEXT.fullmatch(w) and not (inner and w in PLACES) for w in named)
         opened[path] = opened.get(path, 0) + 1
         if name not in VOID and not m["rest"].endswith("/"):
             stack.append((name, path, kept and not no_text, article or is_article))
@@ -154,7 +158,7 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.2, least_tokens: int = 2) -> DataFrame:
-    """host, main (path of the main slot, or null) and constant (hashes of the template's text blocks), one row a host."""
+    """host, main (path of the main slot, or null), constant and fixed (hashes of the template's text blocks outside and in articles), one row a host."""
     mark = F.xxhash64("page", "times")
     found = tokens(pages).groupBy("host", "token").agg(
         F.first("path").alias("path"), F.first("is_text").alias("is_text"), F.max("length").alias("length"), F.max("article").alias("article"), F.count("*").alias("n_pages"), F.sum("times").alias("n_times"),
@@ -167,6 +171,8 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.2,
     member = found.join(valid, ["host", "n_pages", "v1", "v2"], "left").join(hosts, "host")
     common = F.col("n_pages") >= F.greatest(F.lit(least_pages), F.col("host_pages") * least_share)
     constant = member.where(F.col("is_text") & ~F.col("article") & F.col("size").isNotNull() & common).groupBy("host").agg(F.collect_set("token").alias("constant"))
+    everywhere = F.col("n_pages") == F.col("host_pages")
+    fixed = member.where(F.col("is_text") & F.col("article")).groupBy("host").agg(F.collect_set(F.when(everywhere & F.col("size").isNotNull(), F.col("token"))).alias("fixed"), F.count_if(~everywhere).alias("differ")).where("differ > 0").drop("differ")
     frame = member.where(~F.col("is_text") & F.col("size").isNotNull() & (F.col("n_pages") == F.col("host_pages"))).select(F.col("host").alias("_host"), F.col("path").alias("_path"))
     varying = member.where(F.col("is_text") & ~(F.col("size").isNotNull() & common & ~F.col("article"))).groupBy("host", "path", "article").agg(F.sum(F.col("length") * F.col("n_times")).alias("chars"))
     up = varying.withColumn("step", F.split(F.substring("path", 2, 1 << 20), "/"))
@@ -176,16 +182,19 @@ def templates(pages: DataFrame, least_pages: int = 3, least_share: float = 0.2,
     total = up.groupBy("host").agg(F.max("chars").alias("most"), F.max("in_article").alias("most_article"))
     goal = F.when(F.col("most_article") > 0, F.col("in_article") >= 0.9 * F.col("most_article")).otherwise(F.col("chars") >= 0.9 * F.col("most"))
     main = up.join(total, "host").where(goal).groupBy("host").agg(F.max(F.struct("depth", "slot")).alias("best")).select("host", F.col("best.slot").alias("main"))
-    return hosts.select("host").join(main, "host", "left").join(constant, "host", "left")
+    return hosts.select("host").join(main, "host", "left").join(constant, "host", "left").join(fixed, "host", "left")
 
 
-def choose(blocks: list[Block], main: str | None, constant: set[int]) -> str:
-    """The kept blocks of the main path; else of article elements; else all. The template's text is left out, but for that of articles."""
+def choose(blocks: list[Block], main: str | None, constant: set[int], fixed: Set[int] = frozenset()) -> str:
+    """The kept blocks of the main path, and of article elements outside it that aren't fixed; else of article elements; else all. The template's text is left out, but for that of articles."""
     kept = [b for b in blocks if b.kept]
-    inside = [b for b in kept if main and (b.path == main or b.path.startswith(f"{main}/"))]
+    under = [bool(main) and (b.path == main or b.path.startswith(f"{main}/")) for b in kept]
+    inside = [b for b, u in zip(kept, under, strict=True) if u]
     articles = [b for b in kept if b.article]
     if articles and not any(b.article for b in inside):
         inside = articles
+    elif inside:
+        inside = [b for b, u in zip(kept, under, strict=True) if u or b.article and _hash("text", b.path, b.text) not in fixed]
     return "\n\n".join(b.text for b in inside or kept if b.article or _hash("text", b.path, b.text) not in constant)
 
 
@@ -194,14 +203,14 @@ def extract(pages: DataFrame) -> DataFrame:
     store.ship(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     found = store.cut(templates(pages).withColumnRenamed("host", "_host"), "templates")
-    df = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).join(found, host == F.col("_host"), "left").select("page_id", "url", "html", "main", "constant")
+    df = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).join(found, host == F.col("_host"), "left").select("page_id", "url", "html", "main", "constant", "fixed")
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "html"):
-                constant = [set(x or ()) for x in part.column(4).to_pylist()]
-                texts = [choose(read_page(x or "")[1], m, c) for x, m, c in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), constant, strict=True)]
+                constant, fixed = ([set(x or ()) for x in part.column(i).to_pylist()] for i in (4, 5))
+                texts = [choose(read_page(x or "")[1], m, c, f) for x, m, c, f in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), constant, fixed, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(x) for x in texts], np.int64))], names=["page_id", "url", "text", "n_chars"])
 
     return df.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
