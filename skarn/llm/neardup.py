@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes candidates, exact shingle sets decide.
+"""N-gram Jaccard join: MinHash bands propose candidates, exact shingle sets decide.
 
 A text's set holds its distinct windows of five words (texts of one to four words: one shingle of all of them). Rows
-with equal sets are one node from then on, so copies are never paired. Each node has a MinHash signature for each tree
-of the forest. Of every tree's signatures, sorted, matching prefixes are taken: the depth starts at the longest and
-shortens until a pair exactly at the threshold is met in some tree with the target recall. Nodes that share a prefix,
+with equal sets are one node from then on, so copies are never paired. Each node has a MinHash signature for each of
+several trees, cut at one depth for all data: the greatest at which a pair exactly at the threshold is met in some tree
+with the target recall. This is LSH by bands and no forest of sorted prefixes. Nodes that share a whole prefix,
 directly or through others, form a cluster; within it all exact Jaccard similarities are computed by blocks of
 bounded size, as counts, without a row for each pair.
 
