@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.ones(1, np.uint64)
 
@@ -116,7 +116,7 @@ def run_hashes(kept: np.ndarray, lengths: np.ndarray, fold: bool = False) -> np.
         return np.zeros(0, np.uint64)
     begin = np.cumsum(lengths) - lengths
     place = np.arange(len(kept)) - np.repeat(begin, lengths)
-    values = _BYTE[_FOLD[kept] if fold else kept] * powers(int(lengths.max()) + 1)[place]
+    values = _BYTE[FOLD[kept] if fold else kept] * powers(int(lengths.max()) + 1)[place]
     return mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
 
 

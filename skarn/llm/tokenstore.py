@@ -19,7 +19,6 @@ own; an empty table gives no file; other columns of the input are not looked at,
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -27,6 +26,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
-from .textbatch import pieces
+from .textbatch import FOLD, pieces, run_hashes
 
 FRAME_IDS = 1 << 18
 LEVEL = 3
@@ -123,54 +123,100 @@ class FrameReader:
         return found
 
 
-class Encoder:
-    """Ids of whole texts, from the ids of their distinct parts, which are encoded once and kept up to a number of parts."""
-
-    def __init__(self, path: str, most_kept: int = 400_000) -> None:
-        from tokenizers import Tokenizer
+_LETTER, _DIGIT = (np.zeros(256, bool) for _ in range(2))
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_DIGIT[48:58] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = ~(_LETTER | _DIGIT)[33:127]
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.most = Tokenizer.from_file(path), most_kept
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known, self.ids, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        ends = self.ends[-1] + np.cumsum([len(x) for x in found])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32)])
-        self.ends = np.concatenate([self.ends, ends])
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each text."""
-        words = [_split(x) for x in texts]
-        new = set(chain.from_iterable(words)).difference(self.known)
-        if new:
-            if len(self.known) > self.most:
-                self._clear()
-                new = set(chain.from_iterable(words))
-            self._learn(list(new))
-        n = np.cumsum([len(x) for x in words])
-        codes = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(n[-1]) if len(n) else 0)
-        starts, lengths = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
-        to = np.concatenate(([0], np.cumsum(lengths)))
-        ids = self.ids[np.repeat(starts - to[:-1], lengths) + np.arange(to[-1])]
-        return np.split(ids, to[n[:-1]]) if texts else []
 
+def _parts(data: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts that the tokenizer would never join: it divides at white space, before a mark or
+    a digit that follows a letter, and around digits. Where whole is set, only white space divides.
 
-_MARKS_AFTER_LETTER = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~]+(?:[\x09-\x0d ]|\Z))")
+    data ends in white space, and so does every text in it.
+    """
+    gap = _SPACE[data]
+    starts = ~gap
+    letter, digit = _LETTER[data], _DIGIT[data]
+    ascii_next = letter | digit | _MARK[data]
+    cut = (letter[:-1] & ~letter[1:] | digit[:-1]) & ascii_next[1:] & ~whole[1:]
+    starts[1:] &= gap[:-1] | cut
+    ends = ~gap
+    ends[:-1] &= gap[1:] | cut
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def _split(text: bytes) -> list[bytes]:
-    """Parts that the tokenizer would never join: it lower-cases, and divides at white space and between letters and marks.
+class Encoder:
+    """Ids of whole texts, from the ids of their distinct parts, which are encoded once and kept while they are used.
 
-    A text that may hold a special token's string, which is matched as written, is divided at white space alone.
+    Parts are told apart by 64-bit hashes. Beyond most_kept parts, the half that was used last stays.
     """
-    if b"<|" in text:
-        return text.split()
-    return _MARKS_AFTER_LETTER.sub(b" ", text.lower()).split()
+
+    def __init__(self, path: str, most_kept: int = 1_000_000) -> None:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer, self.most, self.turn = Tokenizer.from_file(path), most_kept, 0
+        self.keys, self.at, self.lengths, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(1, np.uint32)  # the first is for the end
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        order = np.argsort(keys)
+        to = np.searchsorted(self.keys, keys[order])
+        at = len(self.ids) + np.cumsum(lengths) - lengths
+        self.keys, self.at, self.lengths = np.insert(self.keys, to, keys[order]), np.insert(self.at, to, at[order]), np.insert(self.lengths, to, lengths[order])
+        self.used = np.insert(self.used, to, self.turn)
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+
+    def _forget(self) -> None:
+        keep = self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
+        self.keys, at, self.lengths, self.used = self.keys[keep], self.at[keep], self.lengths[keep], self.used[keep]
+        self.at = 1 + np.cumsum(self.lengths) - self.lengths
+        self.ids = np.append(self.ids[:1], self.ids[np.repeat(at - self.at, self.lengths) + 1 + np.arange(int(self.lengths.sum()))])
+
+    def _find(self, kinds: np.ndarray) -> np.ndarray:
+        at, order = np.empty(len(kinds), np.int64), np.argsort(kinds)  # a search in order stays in the cache
+        at[order] = np.searchsorted(self.keys, kinds[order])
+        return at
+
+    def encode(self, texts: list[bytes], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by end_id if one is given, and where each text's ids end."""
+        self.turn += 1
+        if len(self.keys) > self.most:
+            self._forget()
+        joined = b"".join(chain.from_iterable((x, b"\n") for x in texts))
+        data = np.frombuffer(joined, np.uint8)
+        text_ends = np.cumsum([len(x) + 1 for x in texts], dtype=np.int64)
+        whole = np.zeros(len(data), bool)  # a text that may hold a special token's string, which is matched as written
+        for i in [i for i, x in enumerate(texts) if b"<|" in x] if b"<|" in joined else ():
+            whole[text_ends[i] - len(texts[i]) - 1 : text_ends[i]] = True
+        starts, ends = _parts(data, whole) if len(data) else (np.zeros(0, np.int64),) * 2
+        keys = run_hashes(np.where(whole, data, FOLD[data])[~_SPACE[data]], ends - starts)
+        kind, kinds = pd.factorize(keys)
+        at = self._find(kinds)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != kinds) if len(self.keys) else np.arange(len(kinds))
+        if len(new):
+            first = np.empty(len(kinds), np.int64)
+            first[kind[::-1]] = np.arange(len(kind))[::-1]
+            low = joined.decode("utf-8", "surrogatepass") if joined.isascii() else None
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._learn(kinds[new], [low[a:b] for a, b in spans] if low is not None else [joined[a:b].decode() for a, b in spans])
+            at = self._find(kinds)
+        self.used[at] = self.turn
+        lengths, begin = self.lengths[at][kind], self.at[at][kind]
+        per_text = np.searchsorted(starts, text_ends)  # parts up to the end of each text
+        if end_id is not None:  # the end is one more part of each text
+            lengths, begin = np.insert(lengths, per_text, 1), np.insert(begin, per_text, 0)
+            self.ids[0] = end_id
+            per_text = per_text + np.arange(1, len(texts) + 1)
+        to = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.ids[np.repeat(begin - to[:-1], lengths) + np.arange(to[-1])]
+        return ids, to[per_text]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -201,7 +247,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, writer, file, n = TaskContext.get().partitionId(), None, None, 0
         for batch in batches:
-            for part in pieces(batch, "_text"):
+            for part in pieces(batch, "_text", 2 << 20):
                 if writer is None:
                     fs, root = _file_system(folder)
                     fs.create_dir(root)
@@ -209,8 +255,9 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int, folder:
                     file = fs.open_output_stream(own)
                     writer = FrameWriter(file)
                 texts = [x or b"" for x in part.column(1).cast(pa.large_binary()).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(tokenizer_path).encode(texts), strict=True):
-                    writer.add(doc_id, np.append(ids, np.uint32(end_id)))
+                ids, ends = encoder(tokenizer_path).encode(texts, end_id)
+                for doc_id, own_ids in zip(part.column(0).to_pylist(), np.split(ids, ends[:-1]), strict=True):
+                    writer.add(doc_id, own_ids)
                 n += len(texts)
         if writer is not None:
             writer.close()

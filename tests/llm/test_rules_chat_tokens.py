@@ -1,6 +1,7 @@
 import io
 import json
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -96,8 +97,20 @@ def encoder():
 @settings(max_examples=200, deadline=None)
 @given(texts=st.lists(TEXT | st.sampled_from(["Don't, 'S it's.", "<|endoftext|>A.", "Á,. İK.", "x—, y...\x1cz"]), max_size=4))
 def test_encoder_is_the_tokenizer(encoder, texts):
-    got = encoder.encode([t.encode() for t in texts])
-    assert [x.tolist() for x in got] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for end in (None, 2):
+        ids, ends = encoder.encode([t.encode() for t in texts], end)
+        got = [x.tolist() for x in np.split(ids, ends[:-1])] if texts else []
+        assert got == [x if end is None else [*x, end] for x in plain]
+
+
+def test_encoder_forgets_what_it_used_least():
+    small, rng = tokenstore.Encoder(tokenizer_path(), most_kept=50), np.random.default_rng(5)
+    for _ in range(20):
+        texts = [" ".join(f"{chr(97 + a)}{b} w{chr(97 + a)}," for a, b in rng.integers(0, 26, (8, 2))) for _ in range(4)]
+        ids, ends = small.encode([t.encode() for t in texts], 7)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*small.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        assert np.all(np.diff(small.keys.astype(object)) > 0)
 
 
 def test_frames():
@@ -129,5 +142,9 @@ def test_token_files(spark, encoder):
     got = sorted(tokenstore.read_tokens(tokenstore.write_tokens(df, tokenizer_path(), 2)).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 2, 3, 5, 5]
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    plain = {r: [*encoder.tokenizer.encode(r or "", add_special_tokens=False).ids, 2] for _, r in rows}
+    of = [plain[t] for _, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) if _ != 5]
+    assert [r.ids_crc32 for r in got if r.doc_id != 5] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in of]
+    assert {r.ids_crc32 for r in got if r.doc_id == 5} == {zlib.crc32(np.array(plain[t], "<u4").tobytes()) for t in ("Hello, world", "again")}
     assert got[1].n_tokens == 20001 and got[2].n_tokens == got[3].n_tokens == 1
     assert tokenstore.read_tokens(tokenstore.write_tokens(df.limit(0), tokenizer_path(), 2)).collect() == []
