@@ -1,13 +1,16 @@
 """Chat formatting: schema fingerprints select how a record's layout becomes canonical turns.
 
-A fingerprint is the hash of the sorted nested field paths of a record (or of a table's schema). Each known layout is a
-declarative mapping from such paths to turns; fields that no layout names are ignored, so extra columns don't hide a
-layout. The turns are written in one template, with control strings inside texts escaped reversibly, next to the spans
+A fingerprint is the hash of the sorted nested field paths of a record (or of a table's schema), of those that some
+layout names. Each known layout is a declarative mapping from such paths to turns. A fingerprint selects the layout whose
+paths are all there, the one with the most paths if several are (the earlier of equals); each new fingerprint is
+resolved once and kept. So neither further fields nor fields of other layouts hide a layout. The turns are written in one template, with control strings inside texts escaped reversibly, next to the spans
 of the assistant's texts, which are the loss mask.
 
 Defined cases: null roles and texts are empty; turns with a null or equal number keep the order of number (null
-first), role, text; a conversation with a null id is one conversation; a record of no known layout gives no turns and
-a null layout; an empty table gives no rows. Rows of one conversation meet in one task, in sorted order, as the output
+first), role, text; a conversation with a null id is one conversation; a record that is no JSON object, or
+of no known layout, is one user turn with the record's text, under the layout OTHER, so that it can be counted (layout_counts)
+and isn't lost; a null record gives no turns and a null layout; an empty list of messages is a layout without turns;
+texts that are lists of parts are their texts, one a line; an empty table gives no rows. Rows of one conversation meet in one task, in sorted order, as the output
 is one string for each; the rows are streamed through, never held for more than one conversation.
 """
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,15 +54,21 @@ class Layout:
 LAYOUTS = (
     Layout("turn rows", rows=("conv_id", "turn", "role", "text")),
     Layout("messages", each=("messages", "role", "content")),
+    Layout("messages of parts", each=("messages", "role", "content[].text")),
     Layout("system and messages", turns=(("system", "system"),), each=("messages", "role", "content")),
+    Layout("system and messages of parts", turns=(("system", "system"),), each=("messages", "role", "content[].text")),
     Layout("from and value", each=("conversations", "from", "value")),
     Layout("system, from and value", turns=(("system", "system"),), each=("conversations", "from", "value")),
     Layout("prompt and completion", turns=(("user", "prompt"), ("assistant", "completion"))),
     Layout("prompt and response", turns=(("user", "prompt"), ("assistant", "response"))),
     Layout("question and answer", turns=(("user", "question"), ("assistant", "answer"))),
+    Layout("system, question and answer", turns=(("system", "system"), ("user", "question"), ("assistant", "answer"))),
+    Layout("system, prompt and completion", turns=(("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
     Layout("system, prompt and response", turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("instruction and output", turns=(("user", "instruction"), ("assistant", "output"))),
     Layout("instruction, input and output", turns=(("user", "instruction"), ("user+", "input"), ("assistant", "output"))),
+    Layout("system, instruction and output", turns=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Layout("system, instruction, input and output", turns=(("system", "system"), ("user", "instruction"), ("user+", "input"), ("assistant", "output"))),
     Layout("nested prompt", turns=(("user", "prompt.text"), ("assistant", "completion.text"))),
 )
 #: Names that layouts give to roles.
@@ -70,8 +79,12 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-BY_FINGERPRINT = {fingerprint(x.paths()): x for x in LAYOUTS}
 NAMED = frozenset().union(*(x.paths() for x in LAYOUTS))
+EMPTY = frozenset(p[: i + 2] for p in NAMED for i in range(len(p)) if p.startswith("[]", i))
+#: The layout of records that no other fits; it has no mapping.
+OTHER = "other"
+#: Fingerprints met so far, and the layout that each selects.
+BY_FINGERPRINT: dict[tuple[str, bool], Layout | None] = {}
 
 
 def field_paths(value, at: str = "") -> set[str]:
@@ -83,16 +96,31 @@ def field_paths(value, at: str = "") -> set[str]:
     if isinstance(value, dict):
         return set().union(*(field_paths(v, f"{at}.{k}" if at else k) for k, v in value.items()), set())
     if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{at}[]") for v in value), set())
+        return set().union(*(field_paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
     return {at}
 
 
-def layout_of(value) -> Layout | None:
-    return BY_FINGERPRINT.get(fingerprint(field_paths(value) & NAMED))
+def _holds(paths: Set[str], wanted: str) -> bool:
+    """Whether the path is there, or an empty list on the way to it."""
+    steps = [i for i in range(len(wanted)) if wanted.startswith("[]", i)]
+    return wanted in paths or any(wanted[: i + 2] in paths for i in steps)
+
+
+def layout_of(value, rows: bool = False) -> Layout | None:
+    """The layout that the fingerprint of a record or schema selects, of those for tables of turn rows or of the others."""
+    paths = {p for p in field_paths(value) if p in NAMED or p in EMPTY}
+    key = fingerprint(paths), rows
+    if key not in BY_FINGERPRINT:
+        fit = [x for x in LAYOUTS if bool(x.rows) == rows and all(_holds(paths, p) for p in x.paths())]
+        BY_FINGERPRINT[key] = max(fit, key=lambda x: len(x.paths()), default=None)
+    return BY_FINGERPRINT[key]
 
 
 def _at(record: dict, path: str) -> str:
-    for step in path.split("."):
+    for k, step in enumerate(steps := path.split(".")):
+        if step.endswith("[]"):
+            parts = record.get(step[:-2]) if isinstance(record, dict) else None
+            return "\n".join(_at(x, ".".join(steps[k + 1 :])) for x in parts or []) if isinstance(parts, list) else "" if parts is None else str(parts)
         record = record.get(step) if isinstance(record, dict) else None
     return "" if record is None else str(record)
 
@@ -108,7 +136,7 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
             out[-1] = (out[-1][0], f"{out[-1][1]}\n\n{text}")
     if layout.each:
         at, role, text = layout.each
-        out += [(ROLES.get(r := _at(x, role), r), _at(x, text)) for x in record.get(at) or []]
+        out += [(ROLES.get(r := _at(x, role), r), _at(x, text)) for x in record[at] or []]
     return out
 
 
@@ -151,8 +179,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 def format_turn_rows(rows: DataFrame) -> DataFrame:
     """conv_id, layout, formatted, loss_spans for a table with one row for each turn."""
-    layout = layout_of(rows.schema)
-    if layout is None or not layout.rows:
+    layout = layout_of(rows.schema, rows=True)
+    if layout is None:
         raise ValueError(f"no layout of turn rows has the fields of {rows.columns}")
     store.ship(rows.sparkSession)
     names = ("conv", "number", "role", "text")
@@ -191,7 +219,7 @@ def format_turn_rows(rows: DataFrame) -> DataFrame:
 def format_records(records: DataFrame, column: str = "record", key: str = "id") -> DataFrame:
     """key, layout, formatted, loss_spans for a table with a JSON record of any known layout in each row.
 
-    Records that are null, no JSON object or of no known layout get a null layout and an empty text.
+    Null records get a null layout and an empty text; other texts than JSON objects of a known layout are one user turn under the layout OTHER.
     """
     store.ship(records.sparkSession)
     df = records.select(F.col(key).alias("id"), F.col(column).alias("record"))
@@ -203,7 +231,9 @@ def format_records(records: DataFrame, column: str = "record", key: str = "id")
         except ValueError:
             value = None
         layout = layout_of(value) if isinstance(value, dict) else None
-        return (layout.name, *render(turns_of(value, layout))) if layout else (None, "", [])
+        if layout is None:
+            return (None, "", []) if record is None else (OTHER, *render([("user", record)]))
+        return (layout.name, *render(turns_of(value, layout)))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,6 +244,11 @@ def format_records(records: DataFrame, column: str = "record", key: str = "id")
     return df.mapInArrow(write, schema)
 
 
+def layout_counts(formatted: DataFrame) -> DataFrame:
+    """layout, n: how many records each layout was found for; null for null records."""
+    return formatted.groupBy("layout").agg(F.count("*").alias("n"))
+
+
 def digest(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     """What a reader finds in the output: key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     store.ship(formatted.sparkSession)
