@@ -39,6 +39,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def running(flags: np.ndarray) -> np.ndarray:
+    """Running sums of a flag per byte, from 0; as narrow as they fit, as they are as long as the text."""
+    sums = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=sums[1:])
+    return sums
+
+
 @dataclass
 class Texts:
     """The bytes of a column of texts, one after the other; text i is data[offsets[i]:offsets[i + 1]]."""
@@ -70,8 +77,8 @@ class Texts:
 
     def total(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a value per byte over each text."""
-        sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        sums = running(flags)
+        return (sums[self.offsets[1:]] - sums[self.offsets[:-1]]).astype(np.int64)
 
     def runs(self, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the runs of bytes that are no gap, cut where a text ends."""
@@ -120,7 +127,7 @@ def run_hashes(kept: np.ndarray, lengths: np.ndarray, fold: bool = False) -> np.
     return mix(np.add.reduceat(values, begin) + lengths.astype(np.uint64))
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most so many bytes of text each, or one row."""
     at, sizes = 0, pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
