@@ -169,5 +169,6 @@ def _inconsistent(documents: DataFrame, benchmark: DataFrame, hits: DataFrame) -
 
 def clean(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of documents into which no item is leaked."""
-    bad = store.cut(leaks(documents, benchmark, **how).select(F.col("doc_id").alias("_skarn_doc"), F.col("text_hash").alias("_skarn_hash")).distinct(), "leaked")
-    return documents.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")), "left_anti")
+    p = store.prefix(documents)
+    bad = store.cut(leaks(documents, benchmark, **how).select(F.col("doc_id").alias(f"{p}_doc"), F.col("text_hash").alias(f"{p}_hash")).distinct(), "leaked")
+    return documents.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{p}_doc")) & (F.xxhash64("text") == F.col(f"{p}_hash")), "left_anti")

@@ -64,13 +64,18 @@ def _root(n: int) -> int:
     return max(16, int(n**0.5))
 
 
+def row_hash(documents: DataFrame) -> Column:
+    """A hash of all columns but maps: rows alike in it may stand for each other."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()))
+
+
 def stream_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, DataFrame]:
     """Documents without their text, each with its place [start, start + size) in its source's stream; the targets.
 
-    Columns: doc_id, text_hash, size, s, source_size, target, wanted, bucket, n (bucket and n name a row of a source).
+    Columns: doc_id, row_hash, size, s, source_size, target, wanted, bucket, n (bucket and n name a row of a source).
     """
     order = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    sized = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash"), order.alias("order"))
+    sized = documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_hash(documents).alias("row_hash"), order.alias("order"))
     sized = store.cut(sized, "mix-sizes")
     targets = store.cut(source_targets(sized, weights).coalesce(1), "mix-targets")
     buckets = _root(sized.count())
@@ -78,7 +83,7 @@ def stream_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3))
     rows = sized.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
     rows = rows.withColumn("bucket", F.coalesce(F.floor(first * buckets / 2**32), F.lit(0)))
     base = _before(rows, "s", "bucket", F.col("size"), "base")
-    within = Window.partitionBy("s", "bucket").orderBy("order", "doc_id", "size", "text_hash")
+    within = Window.partitionBy("s", "bucket").orderBy("order", "doc_id", "size", "row_hash")
     rows = rows.join(base, ["s", "bucket"])
     rows = rows.withColumn("n", F.row_number().over(within)).withColumn("start", F.col("base") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     return store.cut(rows.drop("base", "order", "low", "high"), "mix-rows"), targets
@@ -132,18 +137,24 @@ def taken_words(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> D
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), slot: str | None = None) -> DataFrame:
     """The rows of documents, whole, once for each repeat in which a slot takes their first word; null doc_ids too.
 
-    Documents without words are in no slot and stay once. Rows alike in every used column are repeated together.
+    slot: a column to add, the place in the mix of the slot that takes a copy's first word; the mix is read in its order.
+    Documents without words are in no slot and stay once (null slot). Rows alike in every column are repeated together.
     """
+    p = store.prefix(documents)
     rows, pieces = mix(documents, weights)
-    copies = pieces.where("from_word = 0").groupBy("s", "bucket", "n").agg(F.count("*").alias("copies"))
-    counted = rows.join(copies, ["s", "bucket", "n"], "left").withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.coalesce("copies", F.lit(0))))
-    counted = counted.groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_skarn_copies"), F.count("*").alias("_skarn_rows"))
-    counted = counted.withColumnsRenamed({"doc_id": "_skarn_doc", "text_hash": "_skarn_hash"})
-    found = documents.join(counted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")))
-    single = found.where("_skarn_rows = 1")
-    several = found.where("_skarn_rows > 1").dropDuplicates(["_skarn_doc", "_skarn_hash"])
-    out = single.unionByName(several).where("_skarn_copies > 0")
-    return out.withColumn("_skarn_copy", F.explode(F.sequence(F.lit(1), F.col("_skarn_copies").cast("int")))).select(*documents.columns)
+    copies = pieces.where("from_word = 0").groupBy("s", "bucket", "n").agg(F.collect_list("slot").alias("slots"))  # at most MOST_REPEATS + 1
+    counted = rows.join(copies, ["s", "bucket", "n"], "left")
+    counted = counted.withColumn("slots", F.when(F.col("size") == 0, F.array(F.lit(None).cast("long"))).otherwise(F.coalesce("slots", F.array().cast("array<long>"))))
+    counted = store.cut(counted.select(F.col("doc_id").alias(f"{p}_doc"), F.col("row_hash").alias(f"{p}_hash"), "slots"), "mix-slots")
+    keys = [f"{p}_doc", f"{p}_hash"]
+    known = counted.groupBy(*keys).agg(F.count("*").alias(f"{p}_rows"), F.min("slots").alias(f"{p}_slots"))
+    found = documents.join(known.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{p}_doc")) & (row_hash(documents) == F.col(f"{p}_hash")))
+    single = found.where(f"{p}_rows = 1").withColumn(f"{p}_slot", F.explode(f"{p}_slots"))
+    several = found.where(f"{p}_rows > 1").dropDuplicates(keys)  # alike in all columns
+    more = counted.select(F.col(f"{p}_doc").alias(f"{p}_doc2"), F.col(f"{p}_hash").alias(f"{p}_hash2"), F.explode("slots").alias(f"{p}_slot"))
+    several = several.join(more.hint("merge"), F.col(f"{p}_doc").eqNullSafe(F.col(f"{p}_doc2")) & (F.col(f"{p}_hash") == F.col(f"{p}_hash2")))
+    columns = [*(F.col(f"`{c}`") for c in documents.columns), *([F.col(f"{p}_slot").alias(slot)] if slot else [])]
+    return single.select(*columns).unionByName(several.select(*columns))

@@ -244,13 +244,16 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
 def one_of_each(documents: DataFrame, **how) -> DataFrame:
     """The rows of documents without near copies: of each class the row with the least doc_id and text hash stays.
 
-    Rows without words all stay. Repeated rows alike in doc_id and text are one row afterwards; a class whose ids are
+    Rows without words all stay. Rows alike in doc_id and text are one row afterwards, the one with the least hash of all columns; a class whose ids are
     all null keeps the row with the least text hash.
     """
+    p = store.prefix(documents)
     found = joined(documents, **how)
     keep = found.where("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
-    keep = store.cut(keep.select(F.col("row.doc_id").alias("_skarn_doc"), F.col("row.text_hash").alias("_skarn_hash"), F.col("n").alias("_skarn_n")), "kept")
+    keep = store.cut(keep.select(F.col("row.doc_id").alias(f"{p}_doc"), F.col("row.text_hash").alias(f"{p}_hash"), F.col("n").alias(f"{p}_n")), "kept")
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_skarn_doc")) & (F.xxhash64("text") == F.col("_skarn_hash")))
-    alone, several = full.where("_skarn_n = 1"), full.where("_skarn_n > 1").dropDuplicates(["_skarn_doc", "_skarn_hash"])
-    return alone.unionByName(several).select(*documents.columns).unionByName(blank.select(*documents.columns))
+    full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{p}_doc")) & (F.xxhash64("text") == F.col(f"{p}_hash")))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    first = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(f"{p}_row")
+    several = full.where(f"{p}_n > 1").groupBy(f"{p}_doc", f"{p}_hash").agg(first).select(f"{p}_row.*")
+    return full.where(f"{p}_n = 1").select(*columns).unionByName(several).unionByName(blank.select(*columns))

@@ -11,15 +11,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in tests on one machine.
+#: Used only on a local master, where no shared folder need be named.
 LOCAL_FOLDER = "file:///tmp/checkpoints/skarn"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; LOCAL_FOLDER where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FOLDER).rstrip("/")
+    """The cluster's ``spark.checkpoint.dir``; LOCAL_FOLDER on a local master without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (named or LOCAL_FOLDER).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -36,6 +39,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prefix(df: DataFrame) -> str:
+    """A beginning of helper columns' names that no column of df has."""
+    out = "_skarn"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def least_hashes(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     """At most so many rows of df, those with the least hash of key; ties by all columns.
 

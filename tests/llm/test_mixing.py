@@ -73,3 +73,16 @@ def test_whole_documents(spark):
     assert out.columns == df.columns
     counts = {r[0]: r[1] for r in out.where("doc_id is not null").groupBy("doc_id").count().collect()}
     assert max(counts.values()) <= 3 + 3  # ids 7, 8 and 9 are on two rows each
+
+
+def test_copies_of_rows_that_differ_stay_apart(spark):
+    """One id and text in two sources: each row is repeated by its own source's share, reruns agree, and slots are in order."""
+    df = spark.createDataFrame([(1, "a b c d", "s0", "x"), (1, "a b c d", "s1", "y"), *[(i, "w " * 30, "s1", "z") for i in range(2, 12)], *[(50, "v " * 9, "s0", "r")] * 5], KIND)
+    out = mixing.mixed_documents(df, slot="slot")
+    assert out.columns == [*df.columns, "slot"]
+    key = lambda r: str(r)
+    assert sorted(out.collect(), key=key) == sorted(mixing.mixed_documents(df.repartition(5), slot="slot").collect(), key=key)
+    rows, pieces = mixing.mix(df)
+    heads = pieces.where("from_word = 0").join(rows, ["s", "bucket", "n"]).groupBy("doc_id", "row_hash").count().groupBy("doc_id").agg(F.sum("count")).collect()
+    assert sorted((r.doc_id, r[1]) for r in out.groupBy("doc_id").count().collect()) == sorted(map(tuple, heads))
+    assert {r["size"] for r in out.where("doc_id = 1").collect()} <= {"x", "y"} and out.where("source = 's0' and size = 'y'").count() == 0

@@ -1,13 +1,18 @@
+import hashlib
 import os
+import random
 import subprocess
 import sys
+import zlib
+from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from skarn.llm import queries
+from skarn.llm import queries, tokenstore
 
 ROOT = Path(__file__).resolve().parents[2]
 DATA = Path("/root/testdata/sf0.001")
@@ -42,6 +47,73 @@ def test_stages(spark):
     assert [r.doc_id for r in last.orderBy("start").collect()] == sorted(ids)
 
 
+def test_whole_run_against_brute_force(spark, tmp_path):
+    """Every stage of one run, null ids, repeated rows and an extra column included, without labels, so that the base rules alone reject."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(900)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    items = {i: text(30) for i in range(4)}
+    rows = [(i, text(rng.randint(60, 160)), "en", rng.choice(["a", "b", "b", None]), i % 7) for i in range(70)]
+    rows += [(100 + k, rows[k][1], "en", "a", 0) for k in range(4)]  # exact copies
+    rows += [(110 + k, rows[k][1] + " " + text(3), "en", "b", 0) for k in range(4)]  # near copies
+    rows += [(120 + k, f"{text(40)} {items[k].upper()} {text(40)}", "de", "a", 0) for k in range(4)]  # leaks
+    rows += [(130, "a b c " * 40, "en", "a", 0), (131, text(20), "en", "a", 0), (132, None, "en", "a", 0), (133, "", "en", None, 0)]  # rejected
+    rows += [(None, text(80), "en", "b", 0), (None, text(90), None, "b", 1), rows[20], rows[20], (21, text(70), "en", "a", 9), (140, text(5000), "en", "b", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _skarn_doc long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+
+    def passes(t):
+        w = (t or "").split()
+        n = Counter(zip(w, w[1:], w[2:]))
+        again = {k + j for k in range(len(w) - 2) if n[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        return len(w) >= 50 and 2 * len(again) <= len(w)
+
+    left = [r for r in rows if passes(r[1])]
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in left)]
+    group = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    best = {}
+    for r, g in zip(left, group, strict=True):
+        if g not in best or (r[0] is None, r[0] or 0) < (best[g][0] is None, best[g][0] or 0):
+            best[g] = r
+    left = list(best.values())
+    assert len(left) < 85
+    windows = lambda t: (lambda w: [tuple(w[k : k + 8]) for k in range(len(w) - 7)])(t.lower().split())
+    known = [set(windows(t)) for t in items.values()]
+    left = [r for r in left if not any(2 * len(k & set(windows(r[1]))) >= len(k) for k in known)]
+    assert not any(r[0] in range(120, 124) for r in left)
+    sizes = Counter()
+    for r in left:
+        sizes[r[3]] += len(r[1].split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    target, total = {}, sum(sizes.values())
+    while True:  # targets stop at three times a source's size
+        free = [s for s in order if s not in target]
+        rest, weight = total - sum(target.values()), {s: order.index(s) % 3 + 1 for s in free}
+        over = [s for s in free if rest * weight[s] / sum(weight.values()) > 3 * sizes[s]]
+        target |= {s: 3.0 * sizes[s] for s in over} if over else {s: rest * weight[s] / sum(weight.values()) for s in free}
+        if not over:
+            break
+    mixed = []
+    for s in order:
+        at, key = 0, lambda r: "" if r[0] is None else hashlib.md5(str(r[0]).encode()).hexdigest()
+        for r in sorted((r for r in left if r[3] == s), key=lambda r: (key(r), len(r[1].split()))):
+            mixed += [r] * sum(k * sizes[s] + at < int(target[s]) for k in range(3))
+            at += len(r[1].split())
+    tokenizer = tokenstore.Encoder(queries.tokenizer_path()).tokenizer
+    crc = lambda t: zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, queries.END_ID], "<u4").tobytes())
+    named = lambda x: sorted((d is None, d or 0, c) for d, c in x)
+    assert named((r.doc_id, r.ids_crc32) for r in got) == named((r[0], crc(r[1])) for r in mixed)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
+
+
 def test_empty_documents(spark, tmp_path):
     for name, kind in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{name}.parquet"))
