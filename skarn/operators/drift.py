@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from skarn.functions.columns import numeric, psi_term
 
-from .ordered import cumulative, quantiles
+from .ordered import cumulative, quantiles_of
+from .staging import staged
 
 BINS, EPSILON = 10, 1e-4
 
@@ -58,19 +59,24 @@ def value_counts(long: DataFrame) -> DataFrame:
     return long.groupBy("feature", "value").agg(*(F.sum(c).cast("bigint").alias(k) for k, c in _sides().items()))
 
 
-def bin_edges(long: DataFrame, bins: int = BINS) -> DataFrame:
-    """feature, edges: the interior quantiles of the reference, distinct, less its least and greatest."""
-    q = quantiles(long.where("is_reference"), ["feature"], "value", [i / bins for i in range(bins + 1)])
+def value_ranks(long: DataFrame) -> DataFrame:
+    """feature, value, n_ref, n_cur, and the sums below each value and in all: the one table that all numeric statistics share."""
+    return staged(cumulative(long, ["feature"], "value", _sides()))
+
+
+def bin_edges(ranks: DataFrame, bins: int = BINS) -> DataFrame:
+    """feature, edges from value_ranks: the interior quantiles of the reference, distinct, less its least and greatest."""
+    q = quantiles_of(ranks, ["feature"], "value", [i / bins for i in range(bins + 1)], "ref")
     edges = q.groupBy("feature").agg(F.array_sort(F.collect_set("quantile")).alias("all"))
     return edges.select("feature", F.when(F.size("all") > 2, F.slice("all", F.lit(2), F.size("all") - 2)).otherwise(F.array().cast("array<double>")).alias("edges"))
 
 
-def psi_numeric(long: DataFrame, bins: int = BINS, epsilon: float = EPSILON) -> DataFrame:
-    """feature, psi (NaN where a side is empty), n_reference, n_current."""
-    edges = bin_edges(long, bins).withColumnRenamed("feature", "_feature")
-    placed = long.join(F.broadcast(edges), F.col("feature") == F.col("_feature"), "left")  # a row for each feature
+def psi_numeric(ranks: DataFrame, bins: int = BINS, epsilon: float = EPSILON) -> DataFrame:
+    """feature, psi (NaN where a side is empty), n_reference, n_current from value_ranks."""
+    edges = bin_edges(ranks, bins).withColumnRenamed("feature", "_feature")
+    placed = ranks.join(F.broadcast(edges), F.col("feature") == F.col("_feature"), "left")  # a row for each feature
     placed = placed.withColumn("bin", F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.lit(0)))
-    counts = placed.groupBy("feature", "bin").agg(*(F.sum(c).alias(k) for k, c in _sides().items()))
+    counts = placed.groupBy("feature", "bin").agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
     return _psi(counts, epsilon)
 
 
@@ -89,11 +95,10 @@ def psi_categorical(counts: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     return _psi(counts, epsilon, 0.0)
 
 
-def ks(long: DataFrame) -> DataFrame:
-    """feature, ks: greatest distance of the two distribution functions (NaN where a side is empty)."""
-    c = cumulative(long, ["feature"], "value", _sides())
+def ks(ranks: DataFrame) -> DataFrame:
+    """feature, ks from value_ranks: greatest distance of the two distribution functions (NaN where a side is empty)."""
     share = lambda s: F.try_divide((F.col(s) + F.col(f"n_{s}")).cast("double"), F.col(f"total_{s}"))
-    return c.groupBy("feature").agg(F.coalesce(F.max(F.abs(share("ref") - share("cur"))), F.lit(float("nan"))).alias("ks"))
+    return ranks.groupBy("feature").agg(F.coalesce(F.max(F.abs(share("ref") - share("cur"))), F.lit(float("nan"))).alias("ks"))
 
 
 def chi_square(counts: DataFrame) -> DataFrame:
@@ -141,12 +146,12 @@ def detect(reference: DataFrame, current: DataFrame, config: DriftConfig) -> Dat
     limits = spark.createDataFrame(bounds, "position int, _f string, psi_warn double, psi_fail double, ks_fail double")
     nan, parts = F.lit(float("nan")), []
     if numeric_:
-        long = long_numeric(reference, current, numeric_)
+        ranks = value_ranks(long_numeric(reference, current, numeric_))
         named = spark.createDataFrame([(f,) for f in numeric_], "feature string")
-        found = named.join(psi_numeric(long, config.bins, config.epsilon), "feature", "left").join(ks(long), "feature", "left")
+        found = named.join(psi_numeric(ranks, config.bins, config.epsilon), "feature", "left").join(ks(ranks), "feature", "left")
         parts.append(found.select("feature", F.lit("numeric").alias("kind"), F.coalesce("psi", nan).alias("psi"), F.coalesce("ks", nan).alias("ks"), F.lit(None).cast("double").alias("chi_square"), F.coalesce("n_reference", F.lit(0)).cast("bigint").alias("n_reference"), F.coalesce("n_current", F.lit(0)).cast("bigint").alias("n_current"), F.lit(None).cast("string").alias("note")))
     if categorical:
-        counts = value_counts(long_categorical(reference, current, categorical))
+        counts = staged(value_counts(long_categorical(reference, current, categorical)))
         named = spark.createDataFrame([(f,) for f in categorical], "feature string")
         found = named.join(psi_categorical(counts, config.epsilon), "feature", "left").join(chi_square(counts), "feature", "left").join(new_categories(counts), "feature", "left")
         note = F.when(F.col("n_new") > 0, F.concat(F.lit("new categories: "), "first_new"))

@@ -9,6 +9,8 @@ from skarn.functions.columns import is_missing, numeric
 
 from .ordered import quantiles, running
 
+BUCKET_ROWS = 100_000  # of a shuffled order that one window holds
+
 
 def _stacked(df: DataFrame, columns: list[str], as_text: bool) -> DataFrame:
     kinds = {f.name: f.dataType for f in df.schema}
@@ -68,7 +70,8 @@ def features_and_target(df: DataFrame, target: str) -> tuple[list[str], DataFram
 def shuffled_rank(df: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """df with rank (from 0) and total_rank inside each label, in the order of a hash of key: the base of exact splits."""
     text = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))) if seed else F.md5(F.col(key).cast("string"))
-    hashed = df.withColumn("_h", text).withColumn("_bucket", F.conv(F.substring("_h", 1, 2), 16, 10).cast("int"))
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    hashed = df.withColumn("_h", text).withColumn("_bucket", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * buckets / (1 << 32)).cast("int"))
     return running(hashed, [label], [F.col("_h"), F.col(key)], {"rank": F.lit(1)}).drop("_h")
 
 
@@ -81,3 +84,11 @@ def stratified_split(df: DataFrame, label: str, key: str, test_share: float, see
     """df with is_test: that share of every label, rounded to whole rows."""
     ranked = shuffled_rank(df, label, key, seed)
     return ranked.withColumn("is_test", F.col("rank") < F.round(F.col("total_rank") * test_share)).drop("rank", "total_rank")
+
+
+def random_split(df: DataFrame, key: str, test_share: float, seed: int = 0) -> DataFrame:
+    """df with is_test: that share of all rows, rounded up to whole rows, in the order of a hash of key; labels aren't looked at."""
+    if not 0 < test_share < 1:
+        raise ValueError("test_share must lie between 0 and 1")
+    ranked = shuffled_rank(df.withColumn("_all", F.lit(1)), "_all", key, seed)
+    return ranked.withColumn("is_test", F.col("rank") < F.ceil(F.col("total_rank") * test_share)).drop("rank", "total_rank", "_all")

@@ -6,6 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .metrics import regression as regression_metrics
+from .preprocess import random_split
+from .staging import staged
+
 
 def simple(df: DataFrame, x: str, y: str) -> DataFrame:
     """slope, intercept, r2 of the least-squares line."""
@@ -55,3 +59,10 @@ def gradient_descent(df: DataFrame, x: str, y: str, rate: float = 0.01, epochs:
         w, b = w - rate * dw, b - rate * db
         rows.append((epoch, w, b, loss))
     return df.sparkSession.createDataFrame(rows, "epoch int, w double, b double, loss double")
+
+
+def held_out(df: DataFrame, key: str, x: str, y: str, degree: int, test_share: float = 0.2, seed: int = 0) -> tuple[list[float], DataFrame]:
+    """Coefficients of a polynomial fitted on a plain random split, and its metrics on the rows held out."""
+    split = staged(random_split(df, key, test_share, seed))
+    fit = [float(c) for c in polynomial(split.where("not is_test"), x, y, degree)]
+    return fit, regression_metrics(predict(split.where("is_test"), x, fit), y, "predicted")

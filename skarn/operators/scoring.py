@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skarn.functions.columns import ratio
 
 from .ordered import numbered, quantiles
+from .staging import staged
 
 
 class Scorer(Protocol):
@@ -82,6 +83,11 @@ def chunked(df: DataFrame, key: str, chunk_size: int) -> DataFrame:
     return numbered(df, key).withColumn("chunk", F.floor(F.col("row_number") / chunk_size)).drop("row_number")
 
 
+def chunked_as_read(df: DataFrame, chunk_size: int) -> DataFrame:
+    """df with chunk: rows in the order in which their files are read, so many to a chunk, from 0."""
+    return chunked(staged(df.withColumn("_read", F.monotonically_increasing_id())), "_read", chunk_size).drop("_read")
+
+
 def chunk_metrics(scored: DataFrame) -> DataFrame:
     """chunk, n, positives, positive_rate, mean, std (population), p50, p95 of the probabilities of each chunk."""
     out = scored.groupBy("chunk").agg(F.count("*").alias("n"), F.sum("prediction").cast("bigint").alias("positives"), F.avg("probability").alias("mean"), F.stddev_pop("probability").alias("std"), F.percentile("probability", F.array(F.lit(0.5), F.lit(0.95))).alias("q"))

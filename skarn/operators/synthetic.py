@@ -14,31 +14,38 @@ CATEGORICAL = ("contract_type", "payment_method", "internet_service", "has_phone
 TARGET = "churn"
 
 
+# Shares of the categories.
+SHARES = {
+    "contract_type": {"Month-to-month": 0.55, "One year": 0.25, "Two year": 0.20},
+    "payment_method": {"Electronic check": 0.25, "Mailed check": 0.25, "Bank transfer": 0.25, "Credit card": 0.25},
+    "internet_service": {"DSL": 0.35, "Fiber optic": 0.45, "None": 0.20},
+    "has_phone_service": {"Yes": 0.9, "No": 0.1},
+    "paperless_billing": {"Yes": 0.6, "No": 0.4},
+}
+# Mean, deviation, least and greatest of the normal draws; mean of the tickets; range of the billing factor.
+TENURE, MONTHLY, TICKETS, BILLING = (32, 24, 0, 72), (65, 30, 18, 120), 1.2, (0.9, 1.05)
+# What each adds to the logit of churn.
+CONTRACT_RISK = {"Month-to-month": 1.4, "One year": -0.3, "Two year": -1.2}
+TENURE_RISK, CHARGE_RISK, TICKET_RISK, FIBER_RISK, NOISE = -0.025, 0.012, 0.18, 0.5, 0.6
+
+
 def churn(spark: SparkSession, rows: int = 5000, churn_rate: float = 0.27, seed: int = 42) -> DataFrame:
-    """Customers whose logit of churn falls with tenure and long contracts and rises with charges and tickets."""
-    u = lambda k: F.rand(seed * 31 + k)
-    # The categories and the ranges of the numeric columns.
+    """Customers whose logit of churn is a sum of the risks; shifted so that about churn_rate of them have a positive one."""
+    draws = iter(range(31 * seed, 31 * seed + 31))
+    uniform, normal = lambda: F.rand(next(draws)), lambda mean, deviation, low, high: clip(F.randn(next(draws)) * deviation + mean, low, high)
+    categories = [choice(uniform(), list(shares.items())).alias(name) for name, shares in SHARES.items()]
     df = spark.range(rows).select(
-        F.col("id").alias("customer_id"),
-        choice(u(1), [("Month-to-month", 0.55), ("One year", 0.25), ("Two year", 0.2)]).alias("contract_type"),
-        choice(u(2), [("Electronic check", 1), ("Mailed check", 1), ("Bank transfer", 1), ("Credit card", 1)]).alias("payment_method"),
-        choice(u(3), [("DSL", 0.35), ("Fiber optic", 0.45), ("None", 0.2)]).alias("internet_service"),
-        choice(u(4), [("Yes", 0.9), ("No", 0.1)]).alias("has_phone_service"),
-        choice(u(5), [("Yes", 0.6), ("No", 0.4)]).alias("paperless_billing"),
-        clip(F.randn(seed * 31 + 6) * 20 + 32, 0, 72).cast("bigint").alias("tenure_months"),
-        F.round(clip(F.randn(seed * 31 + 7) * 25 + 65, 18, 120), 2).alias("monthly_charges"),
-        poisson(u(8), 1.2).cast("bigint").alias("num_support_tickets"),
-        u(9).alias("_u"), F.randn(seed * 31 + 10).alias("_noise"),
+        F.col("id").alias("customer_id"), *categories, normal(*TENURE).cast("bigint").alias("tenure_months"), F.round(normal(*MONTHLY), 2).alias("monthly_charges"),
+        poisson(uniform(), TICKETS).cast("bigint").alias("num_support_tickets"), (uniform() * (BILLING[1] - BILLING[0]) + BILLING[0]).alias("_billing"), (F.randn(next(draws)) * NOISE).alias("_noise"), uniform().alias("_u"),
     )
-    df = df.withColumn("total_charges", F.round(F.col("monthly_charges") * F.greatest("tenure_months", F.lit(1)) * (0.95 + 0.1 * F.col("_u")), 2))
-    term = F.when(F.col("contract_type") == "Month-to-month", 1.1).when(F.col("contract_type") == "One year", -0.3).otherwise(-1.2)
-    check = F.when(F.col("payment_method") == "Electronic check", 0.5).otherwise(0.0)
-    logit = -0.04 * F.col("tenure_months") + 0.012 * F.col("monthly_charges") + 0.3 * F.col("num_support_tickets") + term + check + 0.5 * F.col("_noise")
-    df = df.withColumn("_logit", logit)
+    risks = [
+        F.element_at(F.create_map(*(F.lit(x) for pair in CONTRACT_RISK.items() for x in pair)), F.col("contract_type")),
+        F.col("tenure_months") * TENURE_RISK, (F.col("monthly_charges") - MONTHLY[0]) * CHARGE_RISK, F.col("num_support_tickets") * TICKET_RISK, (F.col("internet_service") == "Fiber optic").cast("int") * FIBER_RISK, F.col("_noise"),
+    ]
+    df = df.withColumns({"total_charges": F.round(F.col("monthly_charges") * F.greatest("tenure_months", F.lit(1)) * F.col("_billing"), 2), "_logit": sum(risks[1:], risks[0])})
     cut = quantiles(df, [], "_logit", [1 - churn_rate]).select(F.col("quantile").alias("_cut"))
     df = df.join(F.broadcast(cut))  # one row
-    drawn = (F.rand(seed * 31 + 11) < sigmoid(4 * (F.col("_logit") - F.col("_cut")))).cast("int")
-    return df.withColumn(TARGET, drawn).select("customer_id", *NUMERIC, *CATEGORICAL, TARGET)
+    return df.withColumn(TARGET, (F.col("_u") < sigmoid(F.col("_logit") - F.col("_cut"))).cast("int")).select("customer_id", *NUMERIC, *CATEGORICAL, TARGET)
 
 
 def line(spark: SparkSession, rows: int = 100, slope: float = 3.0, intercept: float = 7.0, noise: float = 2.0, seed: int = 42) -> DataFrame:

@@ -1,15 +1,46 @@
-"""Array arithmetic and the layers of a small convolutional network, on array columns and without a shuffle."""
+"""Array arithmetic and the layers of a small convolutional network, on array columns and without a shuffle.
+
+An image is one array, row by row, the channels of a place side by side. Convolution, pooling and dense layers are
+matrix products over Arrow batches; their weights travel with the function and are no part of the plan.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_AT_ONCE = 1 << 22  # values in a layer's largest matrix
+
+
+def _layer(a: Column, run: Callable[[np.ndarray], np.ndarray], width: int) -> Column:
+    """run over a batch of arrays as a matrix, some rows at once; width: values that a row takes in it. Null arrays stay null."""
+
+    def go(v: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(v), dtype=object)
+        some = np.flatnonzero(v.notna().to_numpy())
+        step = max(1, _AT_ONCE // width)
+        for low in range(0, len(some), step):
+            at = some[low : low + step]
+            for i, row in zip(at, run(np.stack(v.iloc[at].to_numpy()).astype(np.float64)), strict=True):
+                out.iat[i] = row
+        return out
+
+    return F.pandas_udf(go, "array<double>")(a)
+
 
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
+def add_nested(a: Column, b: Column) -> Column:
+    """Sum of two matrices, as arrays of rows."""
+    return F.zip_with(a, b, add)
+
+
 def multiply(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
@@ -26,43 +57,47 @@ def dot(a: Column, b: Column) -> Column:
     return total(multiply(a, b))
 
 
-def conv2d_same(image: Column, rows: int, columns: int, kernel: list[list[float]]) -> Column:
-    """The image (row by row in an array) with a kernel of odd size over it, stride 1, zeros outside."""
-    half_r, half_c = len(kernel) // 2, len(kernel[0]) // 2
-    cells = F.array(*(F.struct(F.lit(r - half_r).alias("r"), F.lit(c - half_c).alias("c"), F.lit(float(v)).alias("v")) for r, line in enumerate(kernel) for c, v in enumerate(line)))
-
-    def at(p: Column) -> Column:
-        r, c = F.floor(p / columns), p % columns
+def conv2d_same(image: Column, rows: int, columns: int, kernel: Sequence) -> Column:
+    """The image with kernels of odd size over it, stride 1, zeros outside.
 
-        def cell(s: Column, k: Column) -> Column:
-            y, x = r + k["r"], c + k["c"]
-            inside = (y >= 0) & (y < rows) & (x >= 0) & (x < columns)
-            return s + F.when(inside, F.get(image, (y * columns + x).cast("int")) * k["v"]).otherwise(0.0)
+    kernel: rows by columns for one channel; or rows by columns by channels in by channels out.
+    """
+    k = np.asarray(kernel, np.float64)
+    k = k[:, :, None, None] if k.ndim == 2 else k
+    high, wide, inner, outer = k.shape
 
-        return F.aggregate(cells, F.lit(0.0), cell)
+    def run(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x.reshape(len(x), rows, columns, inner), ((0, 0), (high // 2,) * 2, (wide // 2,) * 2, (0, 0)))
+        patches = np.lib.stride_tricks.sliding_window_view(x, (high, wide), (1, 2))  # row, place, channel, then the patch
+        product = patches.reshape(len(x) * rows * columns, -1) @ k.transpose(2, 0, 1, 3).reshape(-1, outer)
+        return product.reshape(len(x), -1)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), at)
+    return _layer(image, run, rows * columns * high * wide * inner)
 
 
-def relu(a: Column, bias: float = 0.0) -> Column:
-    return F.transform(a, lambda x: F.greatest(x + F.lit(bias), F.lit(0.0)))
+def relu(a: Column, bias: float | Sequence[float] = 0.0) -> Column:
+    """bias: one for all values, or one for each channel."""
+    if isinstance(bias, (int, float)):
+        return F.transform(a, lambda x: F.greatest(x + F.lit(float(bias)), F.lit(0.0)))
+    each = F.array(*map(F.lit, map(float, bias)))
+    return F.transform(a, lambda x, i: F.greatest(x + F.get(each, i % len(bias)), F.lit(0.0)))
 
 
-def max_pool_2x2(image: Column, rows: int, columns: int) -> Column:
+def max_pool_2x2(image: Column, rows: int, columns: int, channels: int = 1) -> Column:
     """The greatest of each 2x2 tile, stride 2; tiles over the edge are smaller."""
-    across = -(-columns // 2)
+    down, across = -(-rows // 2), -(-columns // 2)
 
-    def at(p: Column) -> Column:
-        r, c = F.floor(p / across) * 2, p % across * 2
-        one = lambda y, x: F.when((y < rows) & (x < columns), F.get(image, (y * columns + x).cast("int")))
-        return F.greatest(one(r, c), one(r, c + 1), one(r + 1, c), one(r + 1, c + 1))
+    def run(x: np.ndarray) -> np.ndarray:
+        x = np.pad(x.reshape(len(x), rows, columns, channels), ((0, 0), (0, rows % 2), (0, columns % 2), (0, 0)), constant_values=-np.inf)
+        return x.reshape(len(x), down, 2, across, 2, channels).max((2, 4)).reshape(len(x), -1)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(-(-rows // 2) * across - 1)), at)
+    return _layer(image, run, rows * columns * channels)
 
 
-def dense(a: Column, weights: list[list[float]], bias: list[float]) -> Column:
+def dense(a: Column, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> Column:
     """One output for each row of weights."""
-    return F.array(*(dot(a, F.array(*map(F.lit, map(float, w)))) + F.lit(float(b)) for w, b in zip(weights, bias, strict=True)))
+    w, b = np.asarray(weights, np.float64).T.copy(), np.asarray(bias, np.float64)
+    return _layer(a, lambda x: x @ w + b, max(w.shape))
 
 
 def softmax_cross_entropy(logits: Column, label: Column) -> Column:
@@ -75,16 +110,8 @@ def argmax(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)).cast("int") - 1
 
 
-def mean_rgb(pixels: Column) -> Column:
-    """Mean of each channel of an array of interleaved red, green, blue values."""
-    n = F.size(pixels) / 3
-    return F.array(*(F.try_divide(F.aggregate(F.filter(pixels, lambda x, i, k=k: i % 3 == k), F.lit(0.0), lambda s, x: s + x), n) for k in range(3)))
-
-
 def truncated_normal(count: int, deviation: float = 0.1, seed: int = 0) -> list[float]:
     """First weights of a layer: normal draws, drawn again beyond two deviations."""
-    import numpy as np
-
     rng = np.random.default_rng(seed)
     out = rng.normal(0, deviation, count)
     while (far := np.abs(out) > 2 * deviation).any():

@@ -154,13 +154,13 @@ _NEW = "fresh as (select feature, count(*) as n_new, array_to_string(list_sort(l
 
 @query(f"with {_SIDES}, {_EDGES} select feature, position - 1 as position, round(edge, 6) as edge from (select feature, unnest(edges) as edge, generate_subscripts(edges, 1) as position from edges)")
 def drift_bin_edges(spark, sf_dir):
-    edges = drift.bin_edges(drift.long_numeric(*sides(spark, sf_dir), NUMERIC))
+    edges = drift.bin_edges(drift.value_ranks(drift.long_numeric(*sides(spark, sf_dir), NUMERIC)))
     return rounded(edges.select("feature", F.posexplode("edges").alias("position", "edge")).withColumn("position", F.col("position").cast("bigint")), "edge")
 
 
 @query(f"with {_SIDES}, {_EDGES}, {_PSI_NUM} select feature, round(psi, 6) + 0.0 as psi, n_reference, n_current from psi_num")
 def drift_psi_numeric(spark, sf_dir):
-    return rounded(drift.psi_numeric(drift.long_numeric(*sides(spark, sf_dir), NUMERIC)), "psi")
+    return rounded(drift.psi_numeric(drift.value_ranks(drift.long_numeric(*sides(spark, sf_dir), NUMERIC))), "psi")
 
 
 @query(f"with {_SIDES}, {_COUNTS}, {_PSI_CAT} select feature, round(psi, 6) + 0.0 as psi, n_reference, n_current from psi_cat")
@@ -170,7 +170,7 @@ def drift_psi_categorical(spark, sf_dir):
 
 @query(f"with {_SIDES}, {_KS} select feature, round(ks, 6) + 0.0 as ks from ks")
 def drift_ks(spark, sf_dir):
-    return rounded(drift.ks(drift.long_numeric(*sides(spark, sf_dir), NUMERIC)), "ks")
+    return rounded(drift.ks(drift.value_ranks(drift.long_numeric(*sides(spark, sf_dir), NUMERIC))), "ks")
 
 
 @query(f"with {_SIDES}, {_COUNTS}, {_CHI} select feature, round(chi_square, 4) + 0.0 as chi_square from chi")
@@ -356,6 +356,12 @@ def stratified_split(spark, sf_dir):
     return preprocess.stratified_split(customers(spark, sf_dir), "label", "c_custkey", 0.2).select("c_custkey", "label", "is_test")
 
 
+@query(f"with {_CHURN} select c_custkey, row_number() over (order by md5(c_custkey::varchar), c_custkey) - 1 < ceil(count(*) over () * 0.25::double) as is_test from c")
+def random_split(spark, sf_dir):
+    """A plain split, whatever the label."""
+    return preprocess.random_split(customers(spark, sf_dir), "c_custkey", 0.25).select("c_custkey", "is_test")
+
+
 # regression
 
 
@@ -379,6 +385,19 @@ def ols_polynomial(spark, sf_dir):
     return rounded(spark.createDataFrame([(k, float(c)) for k, c in enumerate(fit)], "power int, coefficient double"), "coefficient")
 
 
+@query("""
+with d as (select o_orderkey, (o_orderkey % 100) / 50.0::double as x, 3 * ((o_orderkey % 100) / 50.0::double) + o_totalprice / 1000000 as y from orders),
+s as (select *, row_number() over (order by md5(o_orderkey::varchar), o_orderkey) - 1 < ceil(count(*) over () * 0.2::double) as is_test from d),
+f as (select regr_slope(y, x) as b, regr_intercept(y, x) as a from s where not is_test)
+select count(*) as n, round(avg((y - a - b * x) ** 2), 6) as mse, round(sqrt(avg((y - a - b * x) ** 2)), 6) as rmse, round(1 - avg((y - a - b * x) ** 2) / var_pop(y), 6) as r2 from s, f where is_test
+""")
+def polynomial_held_out(spark, sf_dir):
+    """A line fitted on four fifths of the orders, judged on the others."""
+    x = (F.col("o_orderkey") % 100) / 50.0
+    df = table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), (3 * x + F.col("o_totalprice") / 1000000).alias("y"))
+    return rounded(regression.held_out(df, "o_orderkey", "x", "y", 1)[1], "mse", "rmse", "r2")
+
+
 @query("select round(-5 + i * 10.0 / 99, 9) as x, round(7 + 3 * (-5 + i * 10.0 / 99), 9) as predicted from range(100) t(i)")
 def regression_grid(spark, sf_dir):
     return rounded(regression.grid(spark, -5.0, 5.0, 100, [7.0, 3.0]), "x", "predicted", digits=9)
@@ -444,6 +463,27 @@ def conv2d_relu_pool(spark, sf_dir):
     return rounded(df.select("vec_id", F.posexplode(tensor.max_pool_2x2(F.col("z"), 8, 8)).alias("place", "value")), "value")
 
 
+@query(f"""
+with {_VECTOR}, px as (select vec_id, i // 8 as r, i % 8 // 2 as c, i % 2 as k, v[i + 1] as x from e, range(64) t(i)),
+w as (select i // 12 - 1 as kr, i // 4 % 3 - 1 as kc, i // 2 % 2 as k, i % 2 as o, i % 5 - 2 as w from range(36) t(i))
+select vec_id, ((r - kr) * 8 + (c - kc) * 2 + o)::int as place, round(sum(x * w), 6) + 0.0 as value from px join w using (k) where r - kr between 0 and 7 and c - kc between 0 and 3 group by 1, 2
+""")
+def conv2d_channels(spark, sf_dir):
+    """The embeddings as images of 8 by 4 with two channels, through a 3x3 convolution to two channels."""
+    kernel = [[[[(r * 12 + c * 4 + i * 2 + o) % 5 - 2 for o in range(2)] for i in range(2)] for c in range(3)] for r in range(3)]
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rounded(df.select("vec_id", F.posexplode(tensor.conv2d_same(F.col("v"), 8, 4, kernel)).alias("place", "value")), "value")
+
+
+@query(f"with {_VECTOR} select vec_id, i::int as row, round(list_sum(v[i * 8 + 1:i * 8 + 8]) + list_sum(v[(7 - i) * 8 + 1:(7 - i) * 8 + 8]), 6) + 0.0 as summed from e, range(8) t(i)")
+def tensor_add_nested(spark, sf_dir):
+    """The embeddings as 8 by 8 matrices, plus the same upside down: sums of the rows."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    both = df.select("vec_id", tensor.add_nested(rows, F.reverse(rows)).alias("m"))
+    return rounded(both.select("vec_id", F.posexplode(F.transform("m", tensor.total)).alias("row", "summed")), "summed")
+
+
 @query(f"with {_VECTOR} select vec_id, round(ln(list_sum(list_transform(v[1:10], lambda x: exp(x - list_max(v[1:10]))))) + list_max(v[1:10]) - v[label + 1], 6) + 0.0 as loss, (list_position(v[1:10], list_max(v[1:10])) - 1)::int as predicted from e")
 def softmax_xent(spark, sf_dir):
     """The first ten values as logits of the label."""

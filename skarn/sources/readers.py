@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,14 +69,31 @@ def load_yaml(path: str) -> dict:
     return value
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """path, label (0 if the file name starts with m, else 1), r, g, b: the mean of each channel, 0 to 255.
+def read_images(spark: SparkSession, path: str, size: int = 250) -> DataFrame:
+    """path, label (0 if the file name starts with m, else 1), r, g, b: the mean of each channel, 0 to 1, over the image resized to size by size.
 
-    The mean over all pixels stands for that over a resized image.
+    Resizing is bilinear between the centres of pixels; grey images have three equal channels. Files that are no image are left out.
     """
-    df = spark.read.format("image").load(path).select("image.*")
-    pixels = F.transform(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1), lambda i: i * F.col("nChannels"))
-    byte = lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("double")
-    mean = lambda k: F.try_divide(F.aggregate(pixels, F.lit(0.0), lambda s, i: s + byte((i + k + 1).cast("int"))), F.size(pixels))
-    name = F.element_at(F.split("origin", "/"), -1)
-    return df.select(F.col("origin").alias("path"), F.when(F.lower(name).startswith("m"), 0).otherwise(1).alias("label"), mean(2).alias("r"), mean(1).alias("g"), mean(0).alias("b"))
+
+    def means(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for height, width, channels, data in zip(frame["height"], frame["width"], frame["nChannels"], frame["data"], strict=True):
+                pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+                rows, columns = _resizing(height, size), _resizing(width, size)
+                mean = np.einsum("r,rck,c->k", rows, pixels.astype(np.float64), columns) / 255
+                out.append(mean[2::-1] if channels >= 3 else np.repeat(mean[:1], 3))  # blue comes first
+            rgb = np.array(out).reshape(-1, 3)
+            yield pd.DataFrame({"path": frame["origin"], "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2]})
+
+    df = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    name = F.element_at(F.split("path", "/"), -1)
+    return df.mapInPandas(means, "path string, r double, g double, b double").select("path", F.when(name.startswith("m"), 0).otherwise(1).alias("label"), "r", "g", "b")
+
+
+def _resizing(length: int, size: int) -> np.ndarray:
+    """How much each of length pixels in a row adds to the mean of size pixels."""
+    at = np.clip((np.arange(size) + 0.5) * length / size - 0.5, 0, length - 1)
+    low = np.floor(at).astype(np.int64)
+    share = np.bincount(low, 1 - (at - low), length) + np.bincount(np.minimum(low + 1, length - 1), at - low, length)
+    return share / size

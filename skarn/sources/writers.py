@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 class RunWriter:
@@ -26,12 +26,12 @@ class RunWriter:
         return out
 
     def write_summary(self, summary: dict) -> str:
-        return write_text(f"{self.path.removeprefix('file://')}/_summary.json", json.dumps(summary, indent=2, default=str))
+        return write_text(f"{self.path}/_summary.json", json.dumps(summary, indent=2, default=str))
 
     def finalize(self) -> str:
         """Mark the run's folder as whole, also where nothing was written."""
         self.done = True
-        return write_text(f"{self.path.removeprefix('file://')}/_SUCCESS", "")
+        return write_text(f"{self.path}/_SUCCESS", "")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -44,10 +44,20 @@ def save_model(model, path: str) -> None:
 
 
 def write_text(path: str, text: str) -> str:
-    at = Path(path)
-    at.parent.mkdir(parents=True, exist_ok=True)
-    at.write_text(text)
-    return str(at)
+    """Write a small file to any file system that Spark knows, as it resolves the path; without a session, to the local one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        at = Path(path)
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text)
+        return str(at)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return path
 
 
 def markdown_table(header: list[str], rows: list[list]) -> str:

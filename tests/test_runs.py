@@ -74,3 +74,43 @@ def test_stream(spark, tmp_path):
         score_stream(spark, source, "id long, x double", str(tmp_path / "o"), str(tmp_path / "c"), ExpressionScorer("x"), 0.5, "id").awaitTermination()
         assert spark.read.parquet(str(tmp_path / "o")).count() == more
         spark.range(5, 8).selectExpr("id", "1.0D as x").write.mode("append").parquet(source)
+
+
+def test_train_save_load_predict(spark, tmp_path):
+    config = {
+        "data": {"n_samples": 400}, "features": {"numeric": ["tenure_months", "monthly_charges"], "categorical": ["contract_type"], "target": "churn", "id_column": "customer_id"},
+        "model": {"name": "logistic_regression"}, "tuning": {"folds": 2}, "output": {"model": str(tmp_path / "m"), "metrics": str(tmp_path / "m.json")},
+    }
+    record = runs.train_run(spark, config)
+    assert json.loads((tmp_path / "m.json").read_text())["test"] == record["test"] and record["n_train"] + record["n_test"] == 400
+    readers.load_dataset(spark, {"n_samples": 20}).write.option("header", True).csv(str(tmp_path / "in.csv"))
+    out = runs.predict_csv(spark, str(tmp_path / "m"), str(tmp_path / "in.csv"), str(tmp_path / "out"), "churn")
+    back = readers.read_csv(spark, str(tmp_path / "out"))
+    assert back.columns == out.columns and "churn" not in back.columns and back.where("churn_probability between 0 and 1").count() == 20
+    first = runs.content_sha256(spark, str(tmp_path / "m"))
+    assert first == runs.content_sha256(spark, str(tmp_path / "m")) and len(first) == 64
+    with pytest.raises(FileNotFoundError):
+        readers.load_model(spark, str(tmp_path / "none"))
+    import hashlib
+
+    assert runs.content_sha256(spark, str(tmp_path / "m.json")) == hashlib.sha256((tmp_path / "m.json").read_bytes()).hexdigest()
+
+
+def png(path, pixels):
+    import struct
+    import zlib
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = b"".join(b"\0" + bytes(x for p in line for x in p) for line in pixels)
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", len(pixels[0]), len(pixels), 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""))
+
+
+def test_images(spark, tmp_path):
+    png(tmp_path / "mild.png", [[(255, 0, 51)] * 7] * 3)
+    png(tmp_path / "severe.png", [[(0, 255, 0)] * 4 + [(0, 0, 255)] * 4] * 500)
+    (tmp_path / "notes.png").write_text("no image")
+    got = {r.path.split("/")[-1]: r for r in readers.read_images(spark, str(tmp_path)).collect()}
+    assert set(got) == {"mild.png", "severe.png"}
+    assert (got["mild.png"].label, got["severe.png"].label) == (0, 1)
+    assert [round(got["mild.png"][c], 6) for c in "rgb"] == [1, 0, 0.2]
+    assert [round(got["severe.png"][c], 6) for c in "rgb"] == [0, 0.5, 0.5]
