@@ -47,7 +47,7 @@ EDGES = np.array([1e-9, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.
 RATES = 8
 SHAPE_DIMS = RATES * (len(EDGES) + 1)
 MANY = 4096  # columns beyond which some are chosen
-STEPS, MEMORY = 14, 8  # quasi-Newton steps of each of the two models, and how many of them form the next
+STEPS, MEMORY = 30, 8  # quasi-Newton steps of each of the two models, and how many of them form the next
 DECAY = 1e-4
 LEAST_POSITIVES = 40
 BINS = 1024  # of scores, for the prior
