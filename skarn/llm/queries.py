@@ -154,4 +154,14 @@ sound as (select * from hits h where form = 'l' or not exists (select 1 from wro
 select doc_id, item_id, count(distinct covers)::bigint as matched, windows::int as windows from sound group by doc_id, doc, item_id, item, windows having count(distinct covers) >= 0.5 * windows
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op1_mixing": OP1_SQL, "op7_chat_formatting": OP7_SQL, "chat_record_layouts": CHAT_RECORDS_SQL}
+OP4_SQL = r"""
+with recursive w as (select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select r, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) when len(w) > 0 then [w] else [] end) as s from w),
+shingles as (select r, array_to_string(unnest(s), ' ') as x, len(s) as n from sets),
+links as (select a.r as a, b.r as b from shingles a join shingles b on a.x = b.x and a.r <> b.r group by a.r, b.r having count(*) >= 0.8 * (max(a.n) + max(b.n) - count(*)) - 1e-9),
+reach as (select r, r as m from w union select reach.r, links.b from reach join links on links.a = reach.m)
+select w.doc_id, (select min(o.doc_id) from reach join w o on o.r = reach.m where reach.r = w.r) as class_id, (select count(*) from links where links.a = w.r)::bigint as n_links, len(sets.s)::bigint as n_shingles
+from w join sets using (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard_join": OP4_SQL, "op5_decontamination": OP5_SQL, "op1_mixing": OP1_SQL, "op7_chat_formatting": OP7_SQL, "chat_record_layouts": CHAT_RECORDS_SQL}
