@@ -200,8 +200,8 @@ def unlabelled_sums(table: DataFrame, number: np.ndarray, w: np.ndarray) -> tupl
             for low in range(0, batch.num_rows, 2000):
                 s = sample_of(batch.column(0).slice(low, 2000), number, dims)
                 z = s.apply(w[:-1]) + w[-1]
-                out[0] += np.logaddexp(0, z).sum()
-                out[1 : dims + 2] += _slope(s, _sigmoid(z), dims)
+                out[0] += _exact(np.logaddexp(0, z)).sum()
+                out[1 : dims + 2] += _slope(s, _exact(_sigmoid(z)), dims)
                 out[dims + 2 :] += np.bincount(_bins(z), minlength=BINS)
         return out
 
@@ -210,6 +210,11 @@ def unlabelled_sums(table: DataFrame, number: np.ndarray, w: np.ndarray) -> tupl
     return found[0], found[1 : dims + 2], found[dims + 2 :]
 
 
+def _exact(x: np.ndarray) -> np.ndarray:
+    """Rounded to 2^-30, so that sums of millions of rows are the same in any order."""
+    return np.round(x * (1 << 30)) / (1 << 30)
+
+
 def _bins(z: np.ndarray) -> np.ndarray:
     return np.minimum((_sigmoid(z) * BINS).astype(np.int64), BINS - 1)
 
