@@ -52,6 +52,7 @@ DECAY = 1e-4
 LEAST_POSITIVES = 40
 BINS = 1024  # of scores, for the prior
 _CHUNK = 4096
+TASK_ROWS, FEW_TASKS = 20_000, 64
 
 Features = tuple[np.ndarray, np.ndarray]  # text number and column, for each feature that is present
 
@@ -135,11 +136,14 @@ def select_columns(positives: np.ndarray, n_positive: int, everything: np.ndarra
     return keep
 
 
-def table_sums(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int) -> np.ndarray:
+def table_sums(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, rows: int | None = None) -> np.ndarray:
     """The sum over df's tasks of the vector that partial makes of a task's rows; zeros for no rows.
 
-    The tasks' vectors are added in two levels, in the order of the tasks, so that reruns agree.
+    The tasks' vectors are added in two levels, or by the driver alone if df has so few rows (given) that at most FEW_TASKS
+    tasks of TASK_ROWS rows read them. Either way the order of the tasks is the order of the sum.
     """
+    tasks = None if rows is None else max(1, -(-rows // TASK_ROWS))
+    df = df if tasks is None else df.coalesce(tasks)
     kinds, names = "chunk long, part long, sums binary", ["chunk", "part", "sums"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +160,10 @@ def table_sums(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.n
         for (c, k), x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([k], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=names)
 
-    some = df.mapInArrow(run, kinds).repartition("chunk", F.pmod("part", F.lit(16))).sortWithinPartitions("chunk", "part").mapInArrow(add, kinds).collect()  # 16 rows for each chunk
+    some = df.mapInArrow(run, kinds)
+    if tasks is None or tasks > FEW_TASKS:
+        some = some.repartition("chunk", F.pmod("part", F.lit(16))).sortWithinPartitions("chunk", "part").mapInArrow(add, kinds)  # 16 rows for each chunk
+    some = some.collect()
     out = np.zeros(size)
     for r in sorted(some, key=lambda r: (r.chunk, r.part)):
         out[r.chunk * _CHUNK : (r.chunk + 1) * _CHUNK] += np.frombuffer(r.sums, np.float64)
@@ -189,7 +196,7 @@ def _slope(s: Sample, per_row: np.ndarray, dims: int) -> np.ndarray:
     return np.append(np.bincount(s.column, per_row[s.doc], dims), per_row.sum())
 
 
-def unlabelled_sums(table: DataFrame, number: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def unlabelled_sums(table: DataFrame, number: np.ndarray, w: np.ndarray, rows: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
     """Over all rows of table (columns): the sum of their risk as negatives, its slope, and how many have each score bin."""
     dims = len(w) - 1
     held = table.sparkSession.sparkContext.broadcast((number, w))
@@ -205,7 +212,7 @@ def unlabelled_sums(table: DataFrame, number: np.ndarray, w: np.ndarray) -> tupl
                 out[dims + 2 :] += np.bincount(_bins(z), minlength=BINS)
         return out
 
-    found = table_sums(table.select("columns"), partial, 1 + dims + 1 + BINS)
+    found = table_sums(table.select("columns"), partial, 1 + dims + 1 + BINS, rows)
     held.unpersist()
     return found[0], found[1 : dims + 2], found[dims + 2 :]
 
@@ -334,7 +341,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str, features: Callable[
     number = np.where(kept, np.cumsum(kept) - 1, -1)
     width = int(kept.sum())
     known = sample_of(lists, number, width)
-    unlabelled = lambda w: unlabelled_sums(table, number, w)
+    unlabelled = lambda w: unlabelled_sums(table, number, w, n)
     share = float(np.clip((y > 0).mean(), 0.01, 0.99))
     every, half = known.pick(y > 0), np.cumsum(y > 0) % 2 > 0
     often = np.append(np.clip(every.frequency(width) / every.n, 1e-3, 1), 1.0)
