@@ -2,24 +2,27 @@
 
 A text is a row of tokens: its words with A-Z as a-z, then one end. Two scores are given, both log10 probabilities of
 all its tokens. The base score is a unigram model with one added to every count. The other comes from a bitwise model:
-a token is spelt as bytes, the bytes as bits, and for every bit several predictors, each with the counts of zeros and
-ones seen after one hashed context (the last one to four or six bytes, or the whole word so far), give their logit.
-A mixer adds the logits with weights that are gated by the bit's place and by how much the two longest contexts have
-seen. Last, an adaptive probability map refines the mix by the order-one context. A token's probability is the product
-over its bits, so the probabilities of all words and the end sum to one at most.
-
-What is learnt: the count of every distinct training word (a table that grows with the corpus), and from all of these
-the predictors' counts, in hashed tables of a fixed size. The weights are learnt online, mini-batch after mini-batch:
-words are dealt to slices of some SLICE_WORDS by their hash, the first slice is learnt alone, then every slice goes on
-from where the first ended, all at once, and the ends are averaged, each gate by the mini-batches that met it. In
-learning, one occurrence of the word at hand is taken out of the counts, so that it meets words as unseen as those of
-new texts. Slices, their order inside and all sums (of whole numbers) depend on the words alone, so scores are the same
-for any number of partitions and any size of Arrow batch.
+the tokens are spelt as one row of bytes (a word ends with STOP), the bytes as bits, and for every bit several
+predictors, each with the counts of zeros and ones seen after one hashed context (the last one to six bytes of the
+text, whichever words they belong to, or the whole word so far), give their logit. A mixer adds the logits with weights
+that are gated by the bit's place and by how much the two longest contexts have seen. Last, an adaptive probability map
+refines the mix by the order-one context. A token's probability is the product over its bits, given what stands before
+it, so the probabilities of all words and the end sum to one at most, and a text's score depends on the order of its words.
+
+An event is a byte with all that the predictors see of what is before it: up to six bytes (WINDOW: all in one number)
+and the word so far (a hash). What is learnt: the count of every distinct training event (a table that grows with the
+corpus), and from all of these the predictors' counts, in hashed tables of a fixed size. The weights are learnt online,
+mini-batch after mini-batch: events are dealt to slices by the hash of their context, as many as there are SLICE_WORDS
+distinct words, the first slice is learnt alone, then every slice goes on from where the first ended, all at once, and
+the ends are averaged, each gate by the mini-batches that met it. In learning, one occurrence of the event at hand is
+taken out of the counts, so that it meets events as unseen as those of new texts. Slices, their order inside and all
+sums (of whole numbers) depend on the events alone, so scores are the same for any number of partitions and any size of
+Arrow batch.
 
 Frequent words are those with at least 1 in LEAST_SHARE of all training tokens, so there can't be more of them than
 LEAST_SHARE; only they are broadcast. The others, none of which can be hot, are joined by a shuffle.
 
-Words are told apart by 64-bit hashes. Defined cases: null texts count as empty, and are one end; rows with a null
+Words and beginnings of words are told apart by 64-bit hashes. Defined cases: null texts count as empty, and are one end; rows with a null
 doc_id are training rows; repeated rows are scored each; without training rows all counts are 0 and base scores too;
 an empty table gives no rows; other columns of the input are not looked at, whatever their names.
 """
@@ -39,12 +42,13 @@ from pyspark.sql import functions as F
 
 from . import store
 from .pu import fold
-from .textbatch import Texts, mix, pieces, powers
+from .textbatch import FOLD, SPACE, Texts, mix, pieces, powers
 
 LEAST_SHARE = 1_000_000
 END = b"\n"  # spelt by this byte alone; no word holds it
 STOP = 32  # ends a word's spelling
-ORDERS = (1, 2, 3, 4, 6)  # bytes of context; a last context is the whole word so far
+ORDERS = (1, 2, 3, 4, 6)  # bytes of context, over word boundaries; a last context is the whole word so far
+REACH = max(ORDERS)
 BITS = (16, 19, 20, 20, 20, 22)
 STARTS = np.concatenate(([0], np.cumsum([1 << b for b in BITS]))).astype(np.int64)
 SLOTS = int(STARTS[-1])
@@ -56,13 +60,16 @@ GATES = 8 * LEVELS * LEVELS
 _CELLS = 65536 * 24 + 1
 STEPS = 24  # columns of the probability map, over logits from -STEPS / 2 to STEPS / 2
 _HASH_BASE = np.uint64(0xD6E8FEB86659FD93)
-SLICE_WORDS, MINI_BATCH = 50_000, 8192  # words; (beginning, byte) events
+SLICE_WORDS, MINI_BATCH = 50_000, 8192  # words; events
 _FIXED = 1 << 20  # weights are averaged as whole numbers of this fraction
+STRETCH = 1 << 20  # bytes spelt at once, or one word
+KEPT, PLACE_BITS = 1 << 20, 20  # distinct events that a task sums before it passes them on; places for scores of events met before
+BLOCK = 1 << 14  # events scored at once
 
 
 @dataclass
 class Spelling:
-    """Distinct (word so far, next byte) events: contexts for each, the byte, and which event each byte of a word is."""
+    """Distinct events: contexts for each, the byte, and, where words or texts are spelt, which event each byte is and whose."""
 
     contexts: np.ndarray  # inputs - 1 columns of uint64
     byte: np.ndarray
@@ -70,29 +77,89 @@ class Spelling:
     word: np.ndarray
 
 
-def spell(words: list[bytes]) -> Spelling:
-    text = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
-    lengths = np.array([len(w) if w == END else len(w) + 1 for w in words], np.int64)
-    begin = np.cumsum(lengths) - lengths
-    word = np.repeat(np.arange(len(words)), lengths)
-    place = np.arange(len(text)) - begin[word]
-    before = np.zeros((len(text), max(ORDERS)), np.uint64)
-    for k in range(1, max(ORDERS) + 1):
-        inside = place >= k
-        before[inside, k - 1] = text[np.flatnonzero(inside) - k].astype(np.uint64) + np.uint64(1)
+def windows_of(text: np.ndarray, low: int, high: int, place: np.ndarray) -> np.ndarray:
+    """WINDOW of the bytes low to high: the byte in the lowest 8 bits, above it 9 for each of the REACH bytes before (0: none, else 1 more).
+
+    place: how many bytes before are in the same text.
+    """
+    first = max(0, low - REACH)
+    wide = np.concatenate((np.zeros(REACH - (low - first), np.uint64), text[first:high].astype(np.uint64) + np.uint64(1)))
+    n = high - low
+    out = wide[REACH:] - np.uint64(1)
+    for k in range(1, REACH + 1):
+        out |= wide[REACH - k : REACH - k + n] << np.uint64(9 * k - 1)
+    return out & _INSIDE[np.minimum(place, REACH)]
+
+
+_INSIDE = np.array([(1 << (8 + 9 * k)) - 1 for k in range(REACH + 1)], np.uint64)
+
+
+def beginnings(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of the word so far for each byte; text: words of these lengths, one after the other."""
+    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(text)) - begin
     value = (text.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max(initial=0)) + 1)[place]
     sums = np.cumsum(value) - value  # of all bytes before, modulo 2^64
-    so_far = mix(sums - sums[begin][word] + place.astype(np.uint64) * _HASH_BASE) if len(text) else np.zeros(0, np.uint64)
-    key = mix(so_far + text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, first, event = np.unique(key, return_index=True, return_inverse=True)
+    return mix(sums - sums[begin] + place.astype(np.uint64) * _HASH_BASE) if len(text) else np.zeros(0, np.uint64)
+
+
+def event_keys(window: np.ndarray, so_far: np.ndarray) -> np.ndarray:
+    return so_far + window * np.uint64(0x9E3779B97F4A7C15)
+
+
+def spelling(window: np.ndarray, so_far: np.ndarray, event: np.ndarray | None = None, word: np.ndarray | None = None) -> Spelling:
+    """The contexts of events."""
+    before = [(window >> np.uint64(9 * k - 1)) & np.uint64(511) for k in range(1, REACH + 1)]
     columns = []
     for n in ORDERS:
-        h = np.full(len(first), n, np.uint64)
+        h = np.full(len(window), n, np.uint64)
         for k in range(n):
-            h = h * np.uint64(271) + before[first, k]
+            h = h * np.uint64(271) + before[k]
         columns.append(h if n == 1 else mix(h))
-    columns.append(mix(so_far[first] + np.uint64(99)))
-    return Spelling(np.column_stack(columns) if len(first) else np.zeros((0, len(BITS)), np.uint64), text[first], event, word)
+    columns.append(mix(so_far + np.uint64(99)))
+    none = np.zeros(0, np.int64)
+    return Spelling(np.column_stack(columns), (window & np.uint64(255)).astype(np.uint8), none if event is None else event, none if word is None else word)
+
+
+def spell(words: list[bytes]) -> Spelling:
+    """Words that have nothing before them."""
+    text = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
+    lengths = np.array([len(w) if w == END else len(w) + 1 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    window = windows_of(text, 0, len(text), np.arange(len(text)) - (np.cumsum(lengths) - lengths)[word])
+    so_far = beginnings(text, lengths)
+    _, first, event = np.unique(event_keys(window, so_far), return_index=True, return_inverse=True)
+    return spelling(window[first], so_far[first], event, word)
+
+
+def spelt(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of whole tokens over all texts: the text of each byte, which event it is, and the events' keys, windows and words so far."""
+    n = len(texts)
+    starts, ends = texts.runs(SPACE[texts.data])
+    doc = texts.owner(starts)
+    before = np.arange(len(starts)) + doc  # tokens before a word: words, and an end for each text
+    lengths, owner = np.ones(len(starts) + n, np.int64), np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)
+    lengths[before] = ends - starts + 1
+    to = np.cumsum(lengths)
+    begin = to - lengths
+    text = np.full(int(lengths.sum()), END[0], np.uint8)
+    at = begin[before]
+    kept = ~SPACE[texts.data]
+    text[np.arange(int(kept.sum())) + np.repeat(at - (np.cumsum(ends - starts) - (ends - starts)), ends - starts)] = FOLD[texts.data[kept]]
+    text[at + (ends - starts)] = STOP
+    top = begin[np.searchsorted(owner, np.arange(n))]  # where each text begins
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(to, begin[a] + STRETCH, "right")))
+        low, high = int(begin[a]), int(to[b - 1])
+        of = np.repeat(owner[a:b], lengths[a:b])
+        window = windows_of(text, low, high, np.arange(low, high) - top[of])
+        so_far = beginnings(text[low:high], lengths[a:b])
+        event, keys = pd.factorize(event_keys(window, so_far))
+        first = np.empty(len(keys), np.int64)
+        first[event[::-1]] = np.arange(len(event))[::-1]
+        yield of, event, keys, window[first], so_far[first]
+        a = b
 
 
 def slots_of(s: Spelling, bit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +231,7 @@ class Tables:
         return np.bincount(s.word, self.event_scores(s)[s.event], len(words))
 
     def event_scores(self, s: Spelling) -> np.ndarray:
-        """log10 probability of each byte after what is spelt of its word."""
+        """log10 probability of each byte after what is before it."""
         total = np.zeros(len(s.byte))
         for bit in range(8):
             slots, y = slots_of(s, bit)
@@ -177,6 +244,30 @@ class Tables:
             total += np.log10(np.where(y == 1, p, 1 - p))
         return total
 
+    def text_scores(self, texts: Texts, met: Met) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each text, its end included, and how many bytes it is spelt with."""
+        scores, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for of, event, keys, window, so_far in spelt(texts):
+            place = (keys >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+            found = met.scores[place]
+            new = np.flatnonzero(met.keys[place] != keys)
+            for low in range(0, len(new), BLOCK):
+                at = new[low : low + BLOCK]
+                found[at] = self.event_scores(spelling(window[at], so_far[at]))
+            met.keys[place[new]] = keys[new]
+            met.scores[place[new]] = found[new]
+            scores += np.bincount(of, found[event], len(texts))
+            sizes += np.bincount(of, minlength=len(texts))
+        return scores, sizes
+
+
+class Met:
+    """Scores of events that a task met before, by the key's first bits; the last one stays."""
+
+    def __init__(self) -> None:
+        self.keys, self.scores = np.zeros(1 << PLACE_BITS, np.uint64), np.zeros(1 << PLACE_BITS)
+        self.keys[0] = 1 << 63  # no key of place 0
+
 
 def _distinct(texts: Texts) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
     """doc and kind of every word; the distinct words, their hashes and counts."""
@@ -205,21 +296,68 @@ def word_counts(documents: DataFrame, training: Column) -> DataFrame:
     return counted.groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
-def predictor_counts(vocabulary: DataFrame, distinct: int) -> DataFrame:
-    """chunk, counts (zeros, then ones, int64, compressed): the predictors' counts over all words, summed chunk by chunk."""
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+    """Keys, windows, words so far and counts of events, with one row for each event."""
+    key, window, so_far, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    kind, keys = pd.factorize(key)
+    first = np.empty(len(keys), np.int64)
+    first[kind[::-1]] = np.arange(len(kind))[::-1]
+    return [(keys, window[first], so_far[first], np.bincount(kind, n, len(keys)).astype(np.int64))]
+
+
+def event_counts(documents: DataFrame, training: Column) -> DataFrame:
+    """window, so_far, n of every distinct event of the training rows."""
+    store.ship(documents.sparkSession)
+    df = documents.where(F.coalesce(training, F.lit(True))).select(F.col("text").alias("_text"))
+
+    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        _, window, so_far, n = parts[0]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (window.view(np.int64), so_far.view(np.int64), n)], names=["window", "so_far", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            for part in pieces(batch, "_text"):
+                for _, event, keys, window, so_far in spelt(Texts.of(part.column(0))):
+                    parts.append((keys, window, so_far, np.bincount(event, minlength=len(keys))))
+                    if sum(len(x[0]) for x in parts) > 2 * KEPT:
+                        parts = _summed(parts)
+                        if len(parts[0][0]) > KEPT:
+                            yield batch_of(parts)
+                            parts = []
+        if parts:
+            yield batch_of(_summed(parts))
+
+    return df.mapInArrow(count, "window long, so_far long, n long").groupBy("window", "so_far").agg(F.sum("n").alias("n"))
+
+
+def word_events(vocabulary: DataFrame) -> DataFrame:
+    """window, so_far, n of every distinct event of words (hash, word, n) that have nothing before them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            text = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
+            lengths = np.array([len(w) if w == END else len(w) + 1 for w in words], np.int64)
+            window = windows_of(text, 0, len(text), np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window.view(np.int64), beginnings(text, lengths).view(np.int64), np.repeat(n, lengths))], names=["window", "so_far", "n"])
+
+    return vocabulary.select("word", "n").mapInArrow(count, "window long, so_far long, n long").groupBy("window", "so_far").agg(F.sum("n").alias("n"))
+
+
+def predictor_counts(events: DataFrame, distinct: int) -> DataFrame:
+    """chunk, counts (zeros, then ones, int64, compressed): the predictors' counts over all events, summed chunk by chunk."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = N_CHUNKS * CHUNK
         sums = np.zeros(2 * width, np.int64)
         for batch in batches:
-            for low in range(0, batch.num_rows, SLICE_WORDS):
-                part = batch.slice(low, SLICE_WORDS)
-                s, n = spell(part.column(0).to_pylist()), part.column(1).to_numpy()
-                weight = np.bincount(s.event, n[s.word], len(s.byte)).astype(np.int64)
-                for bit in range(8):
-                    slots, y = slots_of(s, bit)
-                    for i in range(len(BITS)):
-                        np.add.at(sums, slots[:, i] + y * width, weight)
+            window, so_far, weight = (batch.column(i).to_numpy() for i in range(3))
+            s = spelling(window.view(np.uint64), so_far.view(np.uint64))
+            for bit in range(8):
+                slots, y = slots_of(s, bit)
+                for i in range(len(BITS)):
+                    np.add.at(sums, slots[:, i] + y * width, weight)
         packer, both = zstandard.ZstdCompressor(1), sums.reshape(2, N_CHUNKS, CHUNK)
         for c in np.flatnonzero(both.any((0, 2))):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([packer.compress(both[:, c].tobytes())], pa.binary())], names=["chunk", "counts"])
@@ -235,7 +373,7 @@ def predictor_counts(vocabulary: DataFrame, distinct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([packer.compress(x.tobytes())], pa.binary())], names=["chunk", "counts"])
 
     kinds = "chunk long, counts binary"
-    few = vocabulary.select("word", "n").coalesce(max(1, -(-distinct // (4 * SLICE_WORDS))))  # a task's tables are worth some words
+    few = events.select("window", "so_far", "n").coalesce(max(1, -(-distinct // (4 * SLICE_WORDS))))  # a task's tables are worth the events of some words
     return few.mapInArrow(count, kinds).repartition("chunk").mapInArrow(add, kinds)
 
 
@@ -263,10 +401,8 @@ class Mixer:
     def new() -> Mixer:
         return Mixer(first_weights(), np.tile(20 * np.eye(INPUTS), (GATES, 1, 1)), np.zeros(GATES, np.int64), np.zeros(2 * _CELLS, np.int64))
 
-    def learn(self, words: list[bytes], n: np.ndarray, pairs: np.ndarray) -> None:
-        """Online Newton steps over the bits of the words, which come n times each."""
-        s = spell(words)
-        weight = np.bincount(s.event, n[s.word], len(s.byte))
+    def learn(self, s: Spelling, weight: np.ndarray, pairs: np.ndarray) -> None:
+        """Online Newton steps over the bits of the events, which come so many times each."""
         order = np.argsort(mix(s.contexts[:, -1]), kind="stable")  # what follows one beginning is met together
         mean = weight.mean() if len(weight) else 1.0
         for low in range(0, len(order), MINI_BATCH):
@@ -298,9 +434,13 @@ class Mixer:
         self.met[met] += 1
 
 
-def _by_slice(vocabulary: DataFrame, learn: Callable[[list[bytes], np.ndarray], pa.RecordBatch], kinds: str) -> DataFrame:
-    """What learn makes of the words and counts of each slice, in the order of their hashes; vocabulary: slice, hash, word, n."""
-    df = vocabulary.select("slice", "hash", "word", "n").repartition("slice").sortWithinPartitions("slice", "hash", "word")
+def _by_slice(events: DataFrame, learn: Callable[[Spelling, np.ndarray], pa.RecordBatch], kinds: str) -> DataFrame:
+    """What learn makes of the events and counts of each slice, in the order of their keys; events: slice, window, so_far, n."""
+    df = events.select("slice", "window", "so_far", "n").repartition("slice").sortWithinPartitions("slice", "so_far", "window")
+
+    def whole(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        window, so_far, n = (pa.Table.from_batches(held).column(i).to_numpy() for i in (1, 2, 3))
+        return learn(spelling(window.view(np.uint64), so_far.view(np.uint64)), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -310,44 +450,47 @@ def _by_slice(vocabulary: DataFrame, learn: Callable[[list[bytes], np.ndarray],
             ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)) + 1
             for low, high in zip([0, *ends[:-1]], ends, strict=True):
                 if held and of[low] != now:
-                    whole = pa.Table.from_batches(held)
-                    yield learn(whole.column(2).to_pylist(), whole.column(3).to_numpy())
+                    yield whole(held)
                     held = []
                 now = of[low]
                 held.append(batch.slice(low, high - low))
         if held:
-            whole = pa.Table.from_batches(held)
-            yield learn(whole.column(2).to_pylist(), whole.column(3).to_numpy())
+            yield whole(held)
 
     return df.mapInArrow(run, kinds)
 
 
 def train(vocabulary: DataFrame, distinct: int) -> Tables:
-    """Tables from a vocabulary (hash, word, n) of so many words."""
-    spark = vocabulary.sparkSession
+    """Tables from a vocabulary (hash, word, n) of so many words, as if each stood alone."""
+    return train_events(word_events(vocabulary), distinct)
+
+
+def train_events(events: DataFrame, distinct: int) -> Tables:
+    """Tables from the events (window, so_far, n) of texts with so many distinct words."""
+    spark = events.sparkSession
     counts, unpacker = np.zeros((2, N_CHUNKS * CHUNK), np.int64), zstandard.ZstdDecompressor()
-    for r in predictor_counts(vocabulary, distinct).toLocalIterator():  # N_CHUNKS rows
+    for r in predictor_counts(events, distinct).toLocalIterator():  # N_CHUNKS rows
         counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(unpacker.decompress(r.counts), np.int64).reshape(2, CHUNK)
     pairs = (coded(counts[0]).astype(np.uint16) << 8) | coded(counts[1])
     del counts
-    vocabulary = vocabulary.withColumn("slice", F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-distinct // SLICE_WORDS)))))
+    events = events.withColumn("slice", F.pmod(F.xxhash64(F.shiftright("window", 8), "so_far"), F.lit(max(1, -(-distinct // SLICE_WORDS)))))
     held = spark.sparkContext.broadcast(pairs)
 
-    def first(words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    def first(s: Spelling, n: np.ndarray) -> pa.RecordBatch:
         m = Mixer.new()
-        m.learn(words, n, held.value)
+        m.learn(s, n, held.value)
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (m.weights, m.past)], names=["weights", "past"])
 
-    start = _by_slice(vocabulary.where("slice = 0"), first, "weights binary, past binary").collect()  # one row
+    start = _by_slice(events.where("slice = 0"), first, "weights binary, past binary").collect()  # one row at most
     begun = Mixer.new()
     for r in start:
         begun.weights, begun.past = np.frombuffer(r.weights).reshape(begun.weights.shape), np.frombuffer(r.past).reshape(begun.past.shape)
     going = spark.sparkContext.broadcast((begun.weights, begun.past))
 
-    def further(words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    def further(s: Spelling, n: np.ndarray) -> pa.RecordBatch:
         m = Mixer.new()
         m.weights, m.past = (x.copy() for x in going.value)
-        m.learn(words, n, held.value)
+        m.learn(s, n, held.value)
         cells, gates = m.cells.reshape(2, _CELLS), np.flatnonzero(m.met)
         hit = np.flatnonzero(cells.any(0))
         fixed = np.round(m.weights[gates] * _FIXED).astype(np.int64) * m.met[gates, None]
@@ -355,7 +498,7 @@ def train(vocabulary: DataFrame, distinct: int) -> Tables:
         columns = [np.repeat([0, 1], [len(at), len(hit)]), np.append(at, hit), np.append(fixed.ravel(), cells[0, hit]), np.append(np.repeat(m.met[gates], INPUTS), cells[1, hit])]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["kind", "at", "a", "b"])
 
-    learnt = _by_slice(vocabulary, further, "kind long, at long, a long, b long").groupBy("kind", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # a row for each weight and cell
+    learnt = _by_slice(events, further, "kind long, at long, a long, b long").groupBy("kind", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # a row for each weight and cell
     kind, at, a, b = (learnt.column(i).to_numpy() for i in range(4))
     weights, refined = begun.weights.ravel().copy(), np.tile(_squash(np.arange(STEPS) - STEPS / 2), 65536)
     weights[at[kind == 0]] = a[kind == 0] / b[kind == 0] / _FIXED
@@ -367,19 +510,6 @@ def train(vocabulary: DataFrame, distinct: int) -> Tables:
     return Tables(pairs, weights.reshape(GATES, INPUTS).astype(np.float32), np.append(refined, 0.5).astype(np.float32))
 
 
-def with_scores(vocabulary: DataFrame, tables: Tables) -> DataFrame:
-    """hash, n, word_score of every word of the vocabulary."""
-    held = vocabulary.sparkSession.sparkContext.broadcast(tables)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, SLICE_WORDS):
-                part = batch.slice(low, SLICE_WORDS)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(held.value.word_scores(part.column(2).to_pylist()))], names=["hash", "n", "word_score"])
-
-    return vocabulary.select("hash", "n", "word").mapInArrow(run, "hash long, n long, word_score double")
-
-
 def score(documents: DataFrame, training: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of documents.
 
@@ -389,69 +519,51 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
     store.ship(spark)
     vocabulary = store.cut(word_counts(documents, training), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = train(vocabulary, distinct) if total else None
-    if total:
-        vocabulary = store.cut(with_scores(vocabulary, tables), "scored-words")
-    else:
-        vocabulary = vocabulary.select("hash", "n", F.lit(0.0).alias("word_score"))
-    often = vocabulary.where(F.col("n") >= F.lit(max(1, -(-total // LEAST_SHARE)))).select("hash", "n", "word_score").orderBy("hash").toArrow()  # at most LEAST_SHARE rows
+    tables = train_events(store.cut(event_counts(documents, training), "events"), distinct) if total else None
+    often = vocabulary.where(F.col("n") >= F.lit(max(1, -(-total // LEAST_SHARE)))).select("hash", "n").orderBy("hash").toArrow()  # at most LEAST_SHARE rows
     end = vocabulary.where(F.col("hash") == -1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    held = spark.sparkContext.broadcast((*(often.column(i).to_numpy() for i in range(3)), tables))
+    held = spark.sparkContext.broadcast((*(often.column(i).to_numpy() for i in range(2)), tables))
     floor = total + distinct + 1
     df = documents.select("doc_id", F.coalesce(~training, F.lit(False)).alias("held_out"), F.col("text").alias("_text"))
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, frequent_n, frequent_scores, model = held.value
-        base, done = TaskContext.get().partitionId() << 40, 0
+        frequent, frequent_n, model = held.value
+        base, done, met = TaskContext.get().partitionId() << 40, 0, Met()
         for batch in batches:
             for part in pieces(batch, "_text", 2 << 20):
                 texts = Texts.of(part.column(2))
                 rows = len(texts)
-                doc, code, words, hashes, _ = _distinct(texts)
-                hashes, words = np.append(hashes, -1), [*words, END]
+                words = texts.words(fold=True)
+                code, hashes = pd.factorize(words.hashes)
+                doc, hashes = words.doc, np.append(hashes.view(np.int64), -1)
                 at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
                 known = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
                 counts = np.where(known, frequent_n[at] if len(frequent) else 0, 0)
                 known[-1], counts[-1] = end > 0, end
-                out_of_training = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                scores = np.where(known, frequent_scores[at] if len(frequent) else 0.0, 0.0)
-                spelt = np.zeros(len(words), bool)  # words of held-out rows may be in no vocabulary; those of training rows get the vocabulary's score
-                spelt[code[out_of_training[doc]]] = True
-                spelt = np.flatnonzero(spelt & ~known)
-                own = np.zeros(len(words))
-                if model:
-                    own[spelt] = model.word_scores([words[i] for i in spelt])
-                    if not len(frequent) or frequent[at[-1]] != -1:
-                        scores[-1] = model.word_scores([END])[0]
                 plain = np.log10((counts + 1) / floor) if total else np.zeros(len(hashes))
-                doc, code = np.concatenate([doc, np.arange(rows)]), np.concatenate([code, np.full(rows, len(words) - 1)])
+                doc, code = np.concatenate([doc, np.arange(rows)]), np.concatenate([code, np.full(rows, len(hashes) - 1)])
                 sure = known[code]
-                summed = lambda w, d=doc, n=rows: np.bincount(d, w, n)
-                rare = ~sure & (code < len(words) - 1)
-                by_row = scores[code] + np.where(rare & out_of_training[doc], own[code], 0.0)
-                pairs, tf = np.unique(doc[rare] * len(words) + code[rare], return_counts=True)
-                owner = pairs // len(words)
-                ends = np.searchsorted(owner, np.arange(rows + 1))
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (hashes[pairs % len(words)], tf)]
-                n_bytes = np.bincount(doc, np.array([len(w) if w == END else len(w) + 1 for w in words])[code], rows)
+                rare = ~sure & (code < len(hashes) - 1)
+                pairs, tf = np.unique(doc[rare] * len(hashes) + code[rare], return_counts=True)
+                ends = np.searchsorted(pairs // len(hashes), np.arange(rows + 1))
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (hashes[pairs % len(hashes)], tf)]
+                scores, n_bytes = model.text_scores(texts, met) if model else (np.zeros(rows), np.ones(rows, np.int64))
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(1), pa.array(base + done + np.arange(rows)), pa.array(np.bincount(doc, minlength=rows)), pa.array(summed(sure).astype(np.int64)),
-                    pa.array(summed(np.where(sure, plain[code], 0.0))), pa.array(summed(by_row)), pa.array(n_bytes.astype(np.int64)), *lists,
+                    part.column(0), part.column(1), pa.array(base + done + np.arange(rows)), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, sure, rows).astype(np.int64)),
+                    pa.array(np.bincount(doc, np.where(sure, plain[code], 0.0), rows)), pa.array(scores), pa.array(n_bytes), *lists,
                 ], names=["doc_id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "n_bytes", "rare", "times"])
                 done += rows
 
     out = store.cut(df.mapInArrow(run, f"doc_id {kind}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, n_bytes long, rare array<long>, times array<long>"), "lm-rows")
-    rare = out.select("row", "held_out", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "held_out", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
-    counts = vocabulary.groupBy("hash").agg(F.sum("n").alias("n"), F.max("word_score").alias("word_score"))
+    rare = out.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("hash"), F.col("r.times").alias("times"))
+    counts = vocabulary.groupBy("hash").agg(F.sum("n").alias("n"))
     found = rare.join(counts, "hash", "left")
     more = found.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(floor)))).alias("more_base"),
-        F.sum(F.when(F.col("held_out"), 0.0).otherwise(F.col("times") * F.coalesce("word_score", F.lit(0.0)))).alias("more_score"),
     )
     out = out.drop("rare", "times").join(more, "row", "left")
-    out = out.withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0)))
     base = F.col("base_score") + F.coalesce("more_base", F.lit(0.0)) if total else F.lit(0.0)
     return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
 

@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _BYTE = np.random.default_rng(20240229).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -90,7 +90,7 @@ class Texts:
         return starts, ends
 
     def words(self, fold: bool = False) -> Words:
-        gap = _SPACE[self.data]
+        gap = SPACE[self.data]
         starts, ends = self.runs(gap)
         return Words(starts, ends, self.owner(starts), run_hashes(self.data[~gap], ends - starts, fold))
 
