@@ -3,7 +3,9 @@
 ``rule_statistics`` counts, for every text, what the rules look at. Two of them reject a text outright (too few
 words; too many words in repeated three-word windows). For the rest an isolation forest decides: trees of random
 splits, each grown on a subsample of its own that is drawn from the whole table (SUBSAMPLE rows, part of the method),
-give each text its mean path length, and texts that are isolated early are anomalies. The cut between anomalous and ordinary scores comes from labelled rows.
+give each text its mean path length, and texts that are isolated early are anomalies. The cut between
+anomalous and ordinary scores comes from all labelled rows: their scores stay in the cluster, and the one that is the
+cut is found by counting them, some bits at a time.
 
 Defined cases: a null text counts as empty; a text without words fails the base rules; rows with a null or repeated
 doc_id are judged each on its own text; other columns of the input are not looked at, whatever their names. Without
@@ -165,7 +167,10 @@ def grow_forest(sample: np.ndarray, trees: int = TREES, subsample: int = SUBSAMP
     return Forest(feature, cut, length, _mean_path(subsample) or 1.0)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, most_good_lost: float = 0.005) -> float:
+MOST_GOOD_LOST = 0.005
+
+
+def calibrate(scores: np.ndarray, good: np.ndarray, most_good_lost: float = MOST_GOOD_LOST) -> float:
     """The cut that rejects most of the bad among those that reject at most that share of the good; above 1 if nothing helps."""
     if not good.any() or good.all():
         return 2.0
@@ -174,26 +179,56 @@ def calibrate(scores: np.ndarray, good: np.ndarray, most_good_lost: float = 0.00
     return float(np.nextafter(cut, 2.0))
 
 
+def nth_largest(ranks: DataFrame, column: str, n: int) -> int:
+    """The long, from 0, that n others come before in descending order; the driver gets at most 2^23 counts at once."""
+    prefix = 0
+    for shift in (40, 20, 0):
+        inside = ranks.where(F.shiftright(column, shift + 20) == prefix) if shift < 40 else ranks
+        counted = inside.groupBy(F.shiftright(column, shift).alias("_bin")).count().toArrow()
+        bins, counts = (counted.column(i).to_numpy() for i in range(2))
+        order = np.argsort(-bins)
+        upto = np.cumsum(counts[order])
+        at = int(np.searchsorted(upto, n, "right"))
+        n -= int(upto[at - 1]) if at else 0
+        prefix = int(bins[order[at]])
+    return prefix
+
+
+def calibrate_all(labelled: DataFrame, forest: Forest, most_good_lost: float = MOST_GOOD_LOST) -> float:
+    """What calibrate gives for the scores of all rows of labelled (BASE, MORE and _good)."""
+    held = labelled.sparkSession.sparkContext.broadcast(forest)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in BASE + MORE}
+            ranks = held.value.scores(features(s)).view(np.int64)  # doubles from 0 are ordered as their bits are
+            yield pa.RecordBatch.from_arrays([pa.array(ranks), batch.column(batch.schema.get_field_index("_good"))], names=["rank", "_good"])
+
+    scored = store.cut(labelled.select(*BASE, *MORE, (F.col("_good") > 0).alias("_good")).mapInArrow(score, "rank long, _good boolean"), "labelled-scores")
+    good, rows = scored.agg(F.coalesce(F.sum(F.col("_good").cast("long")), F.lit(0)), F.count("*")).first()
+    if good in (0, rows):
+        return 2.0
+    rank = nth_largest(scored.where("_good"), "rank", min(good - 1, int(most_good_lost * good)))
+    return float(np.nextafter(np.array([rank], np.int64).view(np.float64)[0], 2.0))
+
+
 @dataclass
 class RuleModel:
     forest: Forest
     cut: float
 
 
-def fit_rules(statistics: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, label_rows: int = 50_000, seed: int = 7) -> RuleModel:
-    """Grow the forest, each tree on a subsample of its own from the whole table, and set its cut by at most label_rows labelled rows.
+def fit_rules(statistics: DataFrame, labels: DataFrame, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7) -> RuleModel:
+    """Grow the forest, each tree on a subsample of its own from the whole table, and set its cut by all labelled rows.
 
-    All are rows with the least hash of doc_id, so that reruns agree. labels: doc_id, quality (null: unlabelled).
+    The trees' rows are those with the least hash of doc_id, so that reruns agree. labels: doc_id, quality (null: unlabelled).
     """
     marked = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("_good")).where("doc_id is not null and _good is not null")
     marked = marked.groupBy("doc_id").agg(F.max("_good").alias("_good"))
     eligible = statistics.where(~_base_failed()).select("doc_id", *BASE, *MORE)
-    labelled = store.cut(eligible.join(marked, "doc_id"), "labelled")
     sample = store.least_hashes(eligible, "doc_id", trees * subsample, seed).toPandas()
-    known = store.least_hashes(labelled, "doc_id", label_rows, seed).toPandas()
     forest = grow_forest(features({c: sample[c].to_numpy() for c in BASE + MORE}), trees, subsample, seed)
-    scores = forest.scores(features({c: known[c].to_numpy() for c in BASE + MORE})) if len(known) else np.zeros(0)
-    return RuleModel(forest, calibrate(scores, known["_good"].to_numpy() > 0))
+    return RuleModel(forest, calibrate_all(eligible.join(marked, "doc_id"), forest))
 
 
 def _base_failed():
