@@ -62,8 +62,8 @@ STEPS = 24  # columns of the probability map, over logits from -STEPS / 2 to STE
 _HASH_BASE = np.uint64(0xD6E8FEB86659FD93)
 SLICE_WORDS, MINI_BATCH = 50_000, 8192  # words; events
 _FIXED = 1 << 20  # weights are averaged as whole numbers of this fraction
-STRETCH = 1 << 20  # bytes spelt at once, or one word
-KEPT, PLACE_BITS = 1 << 20, 20  # distinct events that a task sums before it passes them on; places for scores of events met before
+STRETCH = 1 << 18  # bytes spelt at once, or one word
+KEPT, PLACE_BITS = 1 << 19, 21  # distinct events that a task sums before it passes them on; places for scores of events met before
 BLOCK = 1 << 14  # events scored at once
 
 
@@ -222,6 +222,7 @@ class Tables:
     pairs: np.ndarray
     weights: np.ndarray
     refined: np.ndarray  # probability of a one by map cell
+    met: Met | None = None  # of the Python worker that scores, for all its tasks
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each word (or END)."""
@@ -244,8 +245,9 @@ class Tables:
             total += np.log10(np.where(y == 1, p, 1 - p))
         return total
 
-    def text_scores(self, texts: Texts, met: Met) -> tuple[np.ndarray, np.ndarray]:
+    def text_scores(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, its end included, and how many bytes it is spelt with."""
+        met = self.met = self.met or Met()
         scores, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         for of, event, keys, window, so_far in spelt(texts):
             place = (keys >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
@@ -262,7 +264,7 @@ class Tables:
 
 
 class Met:
-    """Scores of events that a task met before, by the key's first bits; the last one stays."""
+    """Scores of events met before, by the key's first bits; the last one stays."""
 
     def __init__(self) -> None:
         self.keys, self.scores = np.zeros(1 << PLACE_BITS, np.uint64), np.zeros(1 << PLACE_BITS)
@@ -322,9 +324,10 @@ def event_counts(documents: DataFrame, training: Column) -> DataFrame:
                     parts.append((keys, window, so_far, np.bincount(event, minlength=len(keys))))
                     if sum(len(x[0]) for x in parts) > 2 * KEPT:
                         parts = _summed(parts)
-                        if len(parts[0][0]) > KEPT:
-                            yield batch_of(parts)
-                            parts = []
+                        if len(parts[0][0]) > KEPT:  # the rarer half at least is passed on, so that frequent events are passed on once
+                            often = parts[0][3] > np.partition(parts[0][3], -KEPT // 2)[-KEPT // 2]
+                            yield batch_of([tuple(x[~often] for x in parts[0])])
+                            parts = [tuple(x[often] for x in parts[0])]
         if parts:
             yield batch_of(_summed(parts))
 
@@ -529,7 +532,7 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, frequent_n, model = held.value
-        base, done, met = TaskContext.get().partitionId() << 40, 0, Met()
+        base, done = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for part in pieces(batch, "_text", 2 << 20):
                 texts = Texts.of(part.column(2))
@@ -548,7 +551,7 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
                 pairs, tf = np.unique(doc[rare] * len(hashes) + code[rare], return_counts=True)
                 ends = np.searchsorted(pairs // len(hashes), np.arange(rows + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (hashes[pairs % len(hashes)], tf)]
-                scores, n_bytes = model.text_scores(texts, met) if model else (np.zeros(rows), np.ones(rows, np.int64))
+                scores, n_bytes = model.text_scores(texts) if model else (np.zeros(rows), np.ones(rows, np.int64))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(base + done + np.arange(rows)), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, sure, rows).astype(np.int64)),
                     pa.array(np.bincount(doc, np.where(sure, plain[code], 0.0), rows)), pa.array(scores), pa.array(n_bytes), *lists,
