@@ -6,7 +6,8 @@ from skarn.llm import rules
 
 def test_first_stage_cuts_by_all_labelled_rows(spark, tmp_path):
     n = 56_000
-    text = "array_join(transform(sequence(0, 55), x -> concat(char(97 + (id * 7 + x * 13) % 26), x, if(hash(id, x) % 50 = 0, '!#', ''))), ' ')"
+    word = "concat(if(hash(x, id) % (2 + pmod(hash(id, 7), 61)) = 0, 'A', 'a'), char(97 + (id * 7 + x * 13) % 26), x, if(hash(id, x) % (2 + pmod(hash(id), 59)) = 0, '!#', ''))"
+    text = f"array_join(transform(sequence(0, 55), x -> {word}), ' ')"
     docs = spark.range(n).selectExpr("id as doc_id", f"{text} as text")
     labels = docs.selectExpr("doc_id", "cast(doc_id % 40 != 0 as int) as quality")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
