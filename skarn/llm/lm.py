@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,7 @@ from .pu import fold
 from .textbatch import FOLD, SPACE, Texts, mix, pieces, powers
 
 LEAST_SHARE = 1_000_000
+_HASH_BASE = np.uint64(0xD6E8FEB86659FD93)
 END = b"\n"  # spelt by this byte alone; no word holds it
 STOP = 32  # ends a word's spelling
 ORDERS = (1, 2, 3, 4, 6)  # bytes of context, over word boundaries; a last context is the whole word so far
@@ -59,36 +61,72 @@ LEVELS = 6
 GATES = 8 * LEVELS * LEVELS
 _CELLS = 65536 * 24 + 1
 STEPS = 24  # columns of the probability map, over logits from -STEPS / 2 to STEPS / 2
-_HASH_BASE = np.uint64(0xD6E8FEB86659FD93)
 SLICE_WORDS, MINI_BATCH = 50_000, 8192  # words; events
 _FIXED = 1 << 20  # weights are averaged as whole numbers of this fraction
-STRETCH = 1 << 18  # bytes spelt at once, or one word
-KEPT, PLACE_BITS = 1 << 19, 21  # distinct events that a task sums before it passes them on; places for scores of events met before
-BLOCK = 1 << 14  # events scored at once
+STRETCH = 1 << 15  # bytes spelt at once, or one word: what is made of them stays in a core's cache
+KEPT, WAITING = 3 << 19, 1 << 19  # distinct events that a task sums before it passes them on; rows that wait to be summed
+TALLY_BITS, PLACE_BITS = 21, 22  # places for counts, and for scores, of events met before
+BUCKET, BUCKETS = 1 << 21, 4096  # bytes of text whose events are summed together; more of them where there would be more buckets
+BLOCK = 1 << 13  # events scored at once
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: A-Z as a-z, all white space as STOP.
+_FOLDED = np.where(SPACE, STOP, FOLD).astype(np.uint8)
 
 
 @dataclass
 class Spelling:
     """Distinct events: contexts for each, the byte, and, where words or texts are spelt, which event each byte is and whose."""
 
-    contexts: np.ndarray  # inputs - 1 columns of uint64
+    contexts: np.ndarray  # inputs - 1 columns of uint64, column after column
     byte: np.ndarray
     event: np.ndarray  # one for each byte of each word, word after word
     word: np.ndarray
 
+    @cached_property
+    def near(self) -> list[list[np.ndarray]]:
+        """For each half of the byte and each context but the first: what its nodes' slots are near to.
+
+        Four bits in a row have their slots in sixteen that are side by side, and so in one line of a processor's cache;
+        which of the sixteen is which node's depends on the hash, so that all slots are used alike.
+        """
+        halves = [self.contexts.T[1:] * _GOLD]
+        halves.append((self.contexts.T[1:] + ((self.byte >> 4).astype(np.uint64) + np.uint64(16)) * _HASH_BASE) * _GOLD)
+        return [[(h >> np.uint64(64 - b)).view(np.int64) for h, b in zip(half, BITS[1:], strict=True)] for half in halves]
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        """Order-one context, above 8 bits for the node."""
+        return (self.contexts[:, 0] & np.uint64(255)).view(np.int64) << 8
+
+    def nodes(self, bit: int) -> np.ndarray:
+        return (self.byte.astype(np.int64) | 256) >> (8 - bit)
 
-def windows_of(text: np.ndarray, low: int, high: int, place: np.ndarray) -> np.ndarray:
+    def slots(self, half: int) -> list[list[np.ndarray]]:
+        """For each context and each bit of half a byte: the slot of each event in the context's table."""
+        inside = ((self.byte >> 4 if half == 0 else self.byte & 15) | 16).astype(np.int64)
+        steps = [inside >> (4 - b) for b in range(4)]  # 1 to 15
+        return [[self.row | self.nodes(4 * half + b) for b in range(4)], *([near ^ step for step in steps] for near in self.near[half])]
+
+
+def windows_of(text: np.ndarray, low: int, high: int, tops: np.ndarray) -> np.ndarray:
     """WINDOW of the bytes low to high: the byte in the lowest 8 bits, above it 9 for each of the REACH bytes before (0: none, else 1 more).
 
-    place: how many bytes before are in the same text.
+    tops: where texts begin, ascending.
     """
-    first = max(0, low - REACH)
-    wide = np.concatenate((np.zeros(REACH - (low - first), np.uint64), text[first:high].astype(np.uint64) + np.uint64(1)))
-    n = high - low
-    out = wide[REACH:] - np.uint64(1)
-    for k in range(1, REACH + 1):
-        out |= wide[REACH - k : REACH - k + n] << np.uint64(9 * k - 1)
-    return out & _INSIDE[np.minimum(place, REACH)]
+    first, n = max(0, low - REACH), high - low
+    one = np.zeros(REACH + n, np.uint64)
+    one[REACH - (low - first) :] = text[first:high]
+    one[REACH - (low - first) :] += np.uint64(1)
+    two = (one[:-1] << np.uint64(9)) | one[1:]
+    four = (two[:-2] << np.uint64(18)) | two[2:]
+    six = (two[:-4] << np.uint64(36)) | four[2:]
+    out = six[:n] << np.uint64(8)
+    out |= text[low:high]
+    near = tops[np.searchsorted(tops, low - REACH, "right") : np.searchsorted(tops, high)] - low
+    for k in range(REACH):
+        at = near + k
+        out[at[(at >= 0) & (at < n)]] &= _INSIDE[k]
+    return out
 
 
 _INSIDE = np.array([(1 << (8 + 9 * k)) - 1 for k in range(REACH + 1)], np.uint64)
@@ -96,15 +134,22 @@ _INSIDE = np.array([(1 << (8 + 9 * k)) - 1 for k in range(REACH + 1)], np.uint64
 
 def beginnings(text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """A hash of the word so far for each byte; text: words of these lengths, one after the other."""
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(text)) - begin
-    value = (text.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max(initial=0)) + 1)[place]
-    sums = np.cumsum(value) - value  # of all bytes before, modulo 2^64
-    return mix(sums - sums[begin] + place.astype(np.uint64) * _HASH_BASE) if len(text) else np.zeros(0, np.uint64)
+    if not len(text):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(len(text)) - np.repeat(begin, lengths)
+    value = text.astype(np.uint64)
+    value += np.uint64(1)
+    value *= powers(int(lengths.max()) + 1).take(place)
+    sums = np.cumsum(value)  # modulo 2^64
+    sums -= value  # of all bytes before
+    sums -= np.repeat(sums[begin], lengths)
+    sums += place.view(np.uint64) * _HASH_BASE
+    return mix(sums)
 
 
 def event_keys(window: np.ndarray, so_far: np.ndarray) -> np.ndarray:
-    return so_far + window * np.uint64(0x9E3779B97F4A7C15)
+    return so_far + window * _GOLD
 
 
 def spelling(window: np.ndarray, so_far: np.ndarray, event: np.ndarray | None = None, word: np.ndarray | None = None) -> Spelling:
@@ -118,7 +163,7 @@ def spelling(window: np.ndarray, so_far: np.ndarray, event: np.ndarray | None =
         columns.append(h if n == 1 else mix(h))
     columns.append(mix(so_far + np.uint64(99)))
     none = np.zeros(0, np.int64)
-    return Spelling(np.column_stack(columns), (window & np.uint64(255)).astype(np.uint8), none if event is None else event, none if word is None else word)
+    return Spelling(np.array(columns).T, (window & np.uint64(255)).astype(np.uint8), none if event is None else event, none if word is None else word)
 
 
 def spell(words: list[bytes]) -> Spelling:
@@ -126,53 +171,62 @@ def spell(words: list[bytes]) -> Spelling:
     text = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
     lengths = np.array([len(w) if w == END else len(w) + 1 for w in words], np.int64)
     word = np.repeat(np.arange(len(words)), lengths)
-    window = windows_of(text, 0, len(text), np.arange(len(text)) - (np.cumsum(lengths) - lengths)[word])
+    window = windows_of(text, 0, len(text), np.cumsum(lengths) - lengths)
     so_far = beginnings(text, lengths)
     _, first, event = np.unique(event_keys(window, so_far), return_index=True, return_inverse=True)
     return spelling(window[first], so_far[first], event, word)
 
 
+@dataclass
+class Row:
+    """All tokens of texts, spelt one after the other; text i begins at tops[i]."""
+
+    text: np.ndarray
+    tops: np.ndarray
+    to: np.ndarray  # where each token ends
+
+    @staticmethod
+    def of(texts: Texts) -> Row:
+        data, at, n = texts.data.tobytes(), texts.offsets.tolist(), len(texts)
+        folded = _FOLDED[np.frombuffer(b"".join(x for a, b in zip(at[:-1], at[1:], strict=True) for x in (data[a:b], b" \n")), np.uint8)]
+        ends = texts.offsets[1:] + 2 * np.arange(1, n + 1) - 1
+        folded[ends] = END[0]
+        kept = folded != STOP
+        word = kept.copy()
+        word[ends] = False
+        kept[1:] |= word[:-1]  # one STOP after each word
+        text = folded[kept]
+        to = np.flatnonzero((text == STOP) | (text == END[0])) + 1
+        return Row(text, np.append(0, to[text[to - 1] == END[0]]), to)
+
+    def stretches(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Whole tokens: where they begin and end, and the bytes' windows and words so far."""
+        a, low = 0, 0
+        while a < len(self.to):
+            b = max(a + 1, int(np.searchsorted(self.to, low + STRETCH, "right")))
+            high = int(self.to[b - 1])
+            yield low, high, windows_of(self.text, low, high, self.tops), beginnings(self.text[low:high], np.diff(self.to[a:b], prepend=low))
+            a, low = b, high
+
+    def sums(self, low: int, high: int, values: np.ndarray) -> tuple[slice, np.ndarray]:
+        """The texts of a stretch, and sums over them of a value per byte."""
+        a, b = int(np.searchsorted(self.tops, low, "right")) - 1, int(np.searchsorted(self.tops, high))
+        return slice(a, b), np.add.reduceat(values, np.maximum(self.tops[a:b] - low, 0))
+
+
 def spelt(texts: Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Stretches of whole tokens over all texts: the text of each byte, which event it is, and the events' keys, windows and words so far."""
-    n = len(texts)
-    starts, ends = texts.runs(SPACE[texts.data])
-    doc = texts.owner(starts)
-    before = np.arange(len(starts)) + doc  # tokens before a word: words, and an end for each text
-    lengths, owner = np.ones(len(starts) + n, np.int64), np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)
-    lengths[before] = ends - starts + 1
-    to = np.cumsum(lengths)
-    begin = to - lengths
-    text = np.full(int(lengths.sum()), END[0], np.uint8)
-    at = begin[before]
-    kept = ~SPACE[texts.data]
-    text[np.arange(int(kept.sum())) + np.repeat(at - (np.cumsum(ends - starts) - (ends - starts)), ends - starts)] = FOLD[texts.data[kept]]
-    text[at + (ends - starts)] = STOP
-    top = begin[np.searchsorted(owner, np.arange(n))]  # where each text begins
-    a = 0
-    while a < len(lengths):
-        b = max(a + 1, int(np.searchsorted(to, begin[a] + STRETCH, "right")))
-        low, high = int(begin[a]), int(to[b - 1])
-        of = np.repeat(owner[a:b], lengths[a:b])
-        window = windows_of(text, low, high, np.arange(low, high) - top[of])
-        so_far = beginnings(text[low:high], lengths[a:b])
+    row = Row.of(texts)
+    for low, high, window, so_far in row.stretches():
         event, keys = pd.factorize(event_keys(window, so_far))
         first = np.empty(len(keys), np.int64)
         first[event[::-1]] = np.arange(len(event))[::-1]
-        yield of, event, keys, window[first], so_far[first]
-        a = b
+        yield np.searchsorted(row.tops, np.arange(low, high), "right") - 1, event, keys, window[first], so_far[first]
 
 
 def slots_of(s: Spelling, bit: int) -> tuple[np.ndarray, np.ndarray]:
     """Table slot of each event and context for the bit of that place (0: highest), and the bit."""
-    node = ((s.byte.astype(np.int64) | 256) >> (8 - bit)).astype(np.uint64)
-    out = np.empty(s.contexts.shape, np.int64)
-    for i, b in enumerate(BITS):
-        if i == 0:
-            slot = ((s.contexts[:, 0] & np.uint64(255)) << np.uint64(8)) | node
-        else:
-            slot = ((s.contexts[:, i] + node * _HASH_BASE) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - b)
-        out[:, i] = slot.astype(np.int64) + STARTS[i]
-    return out, ((s.byte >> (7 - bit)) & 1).astype(np.int64)
+    return np.array([x[bit % 4] + start for x, start in zip(s.slots(bit // 4), STARTS, strict=False)]).T, ((s.byte >> (7 - bit)) & 1).astype(np.int64)
 
 
 def coded(counts: np.ndarray) -> np.ndarray:
@@ -202,17 +256,18 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -16, 16)))
 
 
+_SEEN = SEEN.astype(np.uint8)
+
+
 def _gates(bit: int, seen_4: np.ndarray, seen_word: np.ndarray) -> np.ndarray:
     return (bit * LEVELS + seen_4) * LEVELS + seen_word
 
 
 def _map_cells(s: Spelling, bit: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower cell of the probability map (order-one context and node, by logit), and how far x is above it."""
-    node = (s.byte.astype(np.int64) | 256) >> (8 - bit)
-    row = ((s.contexts[:, 0] & np.uint64(255)).astype(np.int64) << 8) | node
     at = np.clip(x + STEPS / 2, 0, STEPS - 1.001)
     low = at.astype(np.int64)
-    return row * STEPS + low, at - low
+    return (s.row | s.nodes(bit)) * STEPS + low, at - low
 
 
 @dataclass
@@ -233,34 +288,45 @@ class Tables:
 
     def event_scores(self, s: Spelling) -> np.ndarray:
         """log10 probability of each byte after what is before it."""
-        total = np.zeros(len(s.byte))
+        total = np.ones(len(s.byte))
+        tables = [self.pairs[low : low + (1 << b)] for low, b in zip(STARTS, BITS, strict=False)]
+        weights = np.ascontiguousarray(self.weights.reshape(8, LEVELS * LEVELS, INPUTS).transpose(0, 2, 1))
         for bit in range(8):
-            slots, y = slots_of(s, bit)
-            pair = self.pairs[slots]
-            w = self.weights[_gates(bit, SEEN[pair[:, 3]], SEEN[pair[:, 5]])]
-            z = np.einsum("ij,ij->i", LOGIT[pair], w[:, :-1]) + w[:, -1]
+            if bit % 4 == 0:  # context by context, as the slots of four bits are near each other
+                pairs = [[table.take(x, mode="clip").astype(np.int64) for x in four] for table, four in zip(tables, s.slots(bit // 4), strict=True)]
+            pair = [four[bit % 4] for four in pairs]
+            gate = (_SEEN.take(pair[3]) * LEVELS + _SEEN.take(pair[5])).astype(np.int64)
+            z = weights[bit, -1].take(gate)
+            for x, w in zip(pair, weights[bit], strict=False):
+                z += LOGIT.take(x) * w.take(gate)
             cell, up = _map_cells(s, bit, z)
-            p = 0.5 * _squash(z) + 0.5 * ((1 - up) * self.refined[cell] + up * self.refined[cell + 1])
+            low = self.refined.take(cell)
+            p = 0.5 * _squash(z) + 0.5 * (low + up * (self.refined.take(cell + 1) - low))
             p = np.clip(p, 1e-6, 1 - 1e-6)
-            total += np.log10(np.where(y == 1, p, 1 - p))
-        return total
+            total *= np.where((s.byte >> (7 - bit)) & 1, p, 1 - p)
+        return np.log10(total)
+
+    def byte_scores(self, window: np.ndarray, so_far: np.ndarray) -> np.ndarray:
+        """event_scores; those of events met before are kept."""
+        met = self.met = self.met or Met()
+        keys = event_keys(window, so_far)
+        place = (keys >> np.uint64(64 - PLACE_BITS)).view(np.int64)
+        found = met.scores.take(place)
+        new = np.flatnonzero(met.keys.take(place) != keys)
+        for low in range(0, len(new), BLOCK):
+            at = new[low : low + BLOCK]
+            found[at] = self.event_scores(spelling(window[at], so_far[at]))
+        met.keys[place[new]] = keys[new]
+        met.scores[place[new]] = found[new]
+        return found
 
     def text_scores(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each text, its end included, and how many bytes it is spelt with."""
-        met = self.met = self.met or Met()
-        scores, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for of, event, keys, window, so_far in spelt(texts):
-            place = (keys >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
-            found = met.scores[place]
-            new = np.flatnonzero(met.keys[place] != keys)
-            for low in range(0, len(new), BLOCK):
-                at = new[low : low + BLOCK]
-                found[at] = self.event_scores(spelling(window[at], so_far[at]))
-            met.keys[place[new]] = keys[new]
-            met.scores[place[new]] = found[new]
-            scores += np.bincount(of, found[event], len(texts))
-            sizes += np.bincount(of, minlength=len(texts))
-        return scores, sizes
+        row, scores = Row.of(texts), np.zeros(len(texts))
+        for low, high, window, so_far in row.stretches():
+            of, sums = row.sums(low, high, self.byte_scores(window, so_far))
+            scores[of] += sums
+        return scores, np.diff(row.tops)
 
 
 class Met:
@@ -298,40 +364,122 @@ def word_counts(documents: DataFrame, training: Column) -> DataFrame:
     return counted.groupBy("hash", "word").agg(F.sum("n").alias("n"))
 
 
-def _summed(parts: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
-    """Keys, windows, words so far and counts of events, with one row for each event."""
-    key, window, so_far, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    kind, keys = pd.factorize(key)
-    first = np.empty(len(keys), np.int64)
-    first[kind[::-1]] = np.arange(len(kind))[::-1]
-    return [(keys, window[first], so_far[first], np.bincount(kind, n, len(keys)).astype(np.int64))]
+class Tally:
+    """Counts of events by the key's first bits. An event whose place another takes is passed on with its count."""
+
+    def __init__(self) -> None:
+        self.keys, self.window, self.so_far = (np.zeros(1 << TALLY_BITS, np.uint64) for _ in range(3))
+        self.n = np.zeros(1 << TALLY_BITS, np.int64)
+        self.keys[0] = 1 << 63  # no key of place 0
+        self.passed: list[tuple[np.ndarray, ...]] = [_summed([(self.window[:0], self.so_far[:0], self.n[:0])])]
+
+    def add(self, window: np.ndarray, so_far: np.ndarray) -> None:
+        keys = event_keys(window, so_far)
+        place = (keys >> np.uint64(64 - TALLY_BITS)).view(np.int64)
+        met = self.keys.take(place) == keys
+        np.add.at(self.n, place[met], 1)
+        new = np.flatnonzero(~met)
+        at, keys, window, so_far = place[new], keys[new], window[new], so_far[new]
+        self.leave(np.unique(at))
+        self.keys[at], self.window[at], self.so_far[at] = keys, window, so_far
+        held = self.keys.take(at) == keys  # of several for one place, the last
+        np.add.at(self.n, at[held], 1)
+        if not held.all():
+            self.passed.append((window[~held], so_far[~held], np.ones(int((~held).sum()), np.int64)))
+
+    def leave(self, at: np.ndarray) -> None:
+        at = at[self.n.take(at) > 0]
+        self.passed.append((self.window.take(at), self.so_far.take(at), self.n.take(at)))
+        self.n[at] = 0
+
+    def sum(self, most: int) -> bool:
+        """Sum what has been passed on, if it is more than so many rows since the last time; whether there is more than KEPT then."""
+        if sum(len(x[0]) for x in self.passed[1:]) > most:
+            self.passed = [_summed(self.passed)]
+        return len(self.passed[0][0]) > KEPT
+
+    def rest(self, parts: int = 8) -> Iterator[tuple[np.ndarray, ...]]:
+        """All counts, one row for each event, a range of keys at a time."""
+        self.passed = [_summed(self.passed)]
+        window, so_far, n, keys = self.passed[0]
+        at = np.searchsorted(keys, np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts))
+        for k, (low, high) in enumerate(zip([0, *at], [*at, len(keys)], strict=True)):
+            self.passed = [(window[low:high], so_far[low:high], n[low:high])]
+            self.leave(np.arange(k * len(self.n) // parts, (k + 1) * len(self.n) // parts))
+            yield _summed(self.passed)
+
+
+def _summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Windows, words so far, counts and keys of events, with one row for each event, in the order of the keys."""
+    window, so_far, n = (np.concatenate([x[i] for x in parts]) for i in range(3))
+    keys = event_keys(window, so_far)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    n = np.add.reduceat(n[order], first) if len(keys) else n
+    order = order[first]
+    return window[order], so_far[order], n, keys[first]
 
 
 def event_counts(documents: DataFrame, training: Column) -> DataFrame:
-    """window, so_far, n of every distinct event of the training rows."""
+    """window, so_far, n of every distinct event of the training rows.
+
+    Tasks pass their counts on in buckets of events, by hash, and each bucket is summed by itself.
+    """
     store.ship(documents.sparkSession)
     df = documents.where(F.coalesce(training, F.lit(True))).select(F.col("text").alias("_text"))
+    buckets = min(BUCKETS, 1 + (df.agg(F.sum(F.octet_length("_text").cast("long"))).first()[0] or 0) // BUCKET)
 
-    def batch_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        _, window, so_far, n = parts[0]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (window.view(np.int64), so_far.view(np.int64), n)], names=["window", "so_far", "n"])
+    def packed(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        *columns, keys = rows
+        packer, bucket = zstandard.ZstdCompressor(1), ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(keys)])
+        blobs = [packer.compress(b"".join(x[a:b].tobytes() for x in columns)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
+        tally = Tally()
         for batch in batches:
             for part in pieces(batch, "_text"):
-                for _, event, keys, window, so_far in spelt(Texts.of(part.column(0))):
-                    parts.append((keys, window, so_far, np.bincount(event, minlength=len(keys))))
-                    if sum(len(x[0]) for x in parts) > 2 * KEPT:
-                        parts = _summed(parts)
-                        if len(parts[0][0]) > KEPT:  # the rarer half at least is passed on, so that frequent events are passed on once
-                            often = parts[0][3] > np.partition(parts[0][3], -KEPT // 2)[-KEPT // 2]
-                            yield batch_of([tuple(x[~often] for x in parts[0])])
-                            parts = [tuple(x[often] for x in parts[0])]
-        if parts:
-            yield batch_of(_summed(parts))
+                for _, _, window, so_far in Row.of(Texts.of(part.column(0))).stretches():
+                    tally.add(window, so_far)
+                    if tally.sum(WAITING):
+                        yield packed(tally.passed[0])
+                        tally.passed = [tuple(x[:0] for x in tally.passed[0])]
+        for rows in tally.rest():
+            yield packed(rows)
 
-    return df.mapInArrow(count, "window long, so_far long, n long").groupBy("window", "so_far").agg(F.sum("n").alias("n"))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        now, most, unpacker = None, KEPT, zstandard.ZstdDecompressor()
+
+        def whole() -> pa.RecordBatch:
+            window, so_far, n, _ = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (window.view(np.int64), so_far.view(np.int64), n)], names=["window", "so_far", "n"])
+
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != now:
+                    yield whole()
+                    held = []
+                now = bucket
+                window, so_far, n = np.frombuffer(unpacker.decompress(blob.as_buffer()), np.uint64).reshape(3, -1)
+                held.append((window, so_far, n.view(np.int64)))
+                if len(held) > 1 and sum(len(x[0]) for x in held) > most:
+                    held = [_summed(held)[:3]]
+                    most = max(KEPT, 2 * len(held[0][0]))
+        if held:
+            yield whole()
+
+    parted = df.mapInArrow(count, "bucket int, rows binary").repartition("bucket").sortWithinPartitions("bucket")
+    return parted.mapInArrow(add, "window long, so_far long, n long")
+
+
+def tokens_of(events: DataFrame) -> DataFrame:
+    """hash, n of every distinct token: each is one event, with its last byte (STOP, or the end, whose hash is -1), whatever is before it."""
+    last = F.col("window").bitwiseAND(F.lit(255))
+    word = F.when(last == END[0], F.lit(-1)).otherwise(F.col("so_far"))
+    return events.where(last.isin(STOP, END[0])).groupBy(word.cast("long").alias("hash")).agg(F.sum("n").alias("n"))
 
 
 def word_events(vocabulary: DataFrame) -> DataFrame:
@@ -342,7 +490,7 @@ def word_events(vocabulary: DataFrame) -> DataFrame:
             words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             text = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8)
             lengths = np.array([len(w) if w == END else len(w) + 1 for w in words], np.int64)
-            window = windows_of(text, 0, len(text), np.arange(len(text)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+            window = windows_of(text, 0, len(text), np.cumsum(lengths) - lengths)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (window.view(np.int64), beginnings(text, lengths).view(np.int64), np.repeat(n, lengths))], names=["window", "so_far", "n"])
 
     return vocabulary.select("word", "n").mapInArrow(count, "window long, so_far long, n long").groupBy("window", "so_far").agg(F.sum("n").alias("n"))
@@ -356,11 +504,14 @@ def predictor_counts(events: DataFrame, distinct: int) -> DataFrame:
         sums = np.zeros(2 * width, np.int64)
         for batch in batches:
             window, so_far, weight = (batch.column(i).to_numpy() for i in range(3))
-            s = spelling(window.view(np.uint64), so_far.view(np.uint64))
-            for bit in range(8):
-                slots, y = slots_of(s, bit)
-                for i in range(len(BITS)):
-                    np.add.at(sums, slots[:, i] + y * width, weight)
+            for low in range(0, len(weight), BLOCK):
+                at = slice(low, low + BLOCK)
+                s = spelling(window.view(np.uint64)[at], so_far.view(np.uint64)[at])
+                ones = [((s.byte >> (7 - bit)) & 1).astype(np.int64) * width for bit in range(8)]
+                for half in range(2):
+                    for start, four in zip(STARTS, s.slots(half), strict=False):
+                        for b in range(4):
+                            np.add.at(sums, four[b] + (ones[4 * half + b] + start), weight[at])
         packer, both = zstandard.ZstdCompressor(1), sums.reshape(2, N_CHUNKS, CHUNK)
         for c in np.flatnonzero(both.any((0, 2))):
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([packer.compress(both[:, c].tobytes())], pa.binary())], names=["chunk", "counts"])
@@ -410,16 +561,19 @@ class Mixer:
         mean = weight.mean() if len(weight) else 1.0
         for low in range(0, len(order), MINI_BATCH):
             at = order[low : low + MINI_BATCH]
-            part = Spelling(s.contexts[at], s.byte[at], at, at)
+            part = Spelling(s.contexts.T[:, at].T, s.byte[at], at, at)
             for bit in range(8):
-                self._step(part, bit, weight[at], weight[at] / mean, pairs)
+                if bit % 4 == 0:
+                    four = [[pairs[start : start + (1 << b)].take(x, mode="clip") for x in xs] for start, b, xs in zip(STARTS, BITS, part.slots(bit // 4), strict=False)]
+                self._step(part, bit, weight[at], weight[at] / mean, [x[bit % 4] for x in four])
 
-    def _step(self, part: Spelling, bit: int, n: np.ndarray, w: np.ndarray, pairs: np.ndarray) -> None:
-        slots, y = slots_of(part, bit)
-        pair = pairs[slots].astype(np.int32) + (y[:, None] << 16).astype(np.int32)
+    def _step(self, part: Spelling, bit: int, n: np.ndarray, w: np.ndarray, pairs: list[np.ndarray]) -> None:
+        y = ((part.byte >> (7 - bit)) & 1).astype(np.int64)
+        pair = [x + (y << 16) for x in pairs]
         x = np.ones((len(n), INPUTS), np.float32)
-        x[:, :-1] = LOGIT_OUT[pair]
-        gate = _gates(bit, SEEN_OUT[pair[:, 3]], SEEN_OUT[pair[:, 5]])
+        for i, a in enumerate(pair):
+            x[:, i] = LOGIT_OUT.take(a)
+        gate = _gates(bit, SEEN_OUT.take(pair[3]), SEEN_OUT.take(pair[5]))
         mixed = np.einsum("ij,ij->i", x, self.weights[gate])
         cell, up = _map_cells(part, bit, mixed)
         np.add.at(self.cells, cell + (up > 0.5) + y * _CELLS, n.astype(np.int64))
@@ -520,9 +674,10 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
     """
     spark = documents.sparkSession
     store.ship(spark)
-    vocabulary = store.cut(word_counts(documents, training), "vocabulary")
+    events = store.cut(event_counts(documents, training), "events")
+    vocabulary = store.cut(tokens_of(events), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tables = train_events(store.cut(event_counts(documents, training), "events"), distinct) if total else None
+    tables = train_events(events, distinct) if total else None
     often = vocabulary.where(F.col("n") >= F.lit(max(1, -(-total // LEAST_SHARE)))).select("hash", "n").orderBy("hash").toArrow()  # at most LEAST_SHARE rows
     end = vocabulary.where(F.col("hash") == -1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     held = spark.sparkContext.broadcast((*(often.column(i).to_numpy() for i in range(2)), tables))
@@ -537,9 +692,15 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
             for part in pieces(batch, "_text", 2 << 20):
                 texts = Texts.of(part.column(2))
                 rows = len(texts)
-                words = texts.words(fold=True)
-                code, hashes = pd.factorize(words.hashes)
-                doc, hashes = words.doc, np.append(hashes.view(np.int64), -1)
+                spelt_row, words = Row.of(texts), []
+                scores, n_bytes = np.zeros(rows), np.diff(spelt_row.tops)
+                for low, high, window, so_far in spelt_row.stretches():
+                    words.append(so_far[spelt_row.text[low:high] == STOP])
+                    if model:
+                        of, sums = spelt_row.sums(low, high, model.byte_scores(window, so_far))
+                        scores[of] += sums
+                code, hashes = pd.factorize(np.concatenate(words).view(np.int64))
+                doc, hashes = np.repeat(np.arange(rows), np.diff(np.searchsorted(spelt_row.to, spelt_row.tops, "right")) - 1), np.append(hashes, -1)
                 at = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
                 known = frequent[at] == hashes if len(frequent) else np.zeros(len(hashes), bool)
                 counts = np.where(known, frequent_n[at] if len(frequent) else 0, 0)
@@ -551,7 +712,6 @@ def score(documents: DataFrame, training: Column) -> DataFrame:
                 pairs, tf = np.unique(doc[rare] * len(hashes) + code[rare], return_counts=True)
                 ends = np.searchsorted(pairs // len(hashes), np.arange(rows + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (hashes[pairs % len(hashes)], tf)]
-                scores, n_bytes = model.text_scores(texts) if model else (np.zeros(rows), np.ones(rows, np.int64))
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array(base + done + np.arange(rows)), pa.array(np.bincount(doc, minlength=rows)), pa.array(np.bincount(doc, sure, rows).astype(np.int64)),
                     pa.array(np.bincount(doc, np.where(sure, plain[code], 0.0), rows)), pa.array(scores), pa.array(n_bytes), *lists,
