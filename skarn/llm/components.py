@@ -16,14 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     shuffles, which Spark splits. An empty table gives an empty table; loops and repeated edges change nothing.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = store.cut(both.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), "edges")
-    labels = store.cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")), "labels")
+    both = store.cut(store.gathered(both.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b")), "edges")
+    labels = store.cut(store.gathered(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("least"))
-        hooked = store.cut(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "least").alias("component")), "hooked")
+        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "least").alias("component"))
+        hooked = store.cut(store.gathered(hooked), "hooked")
         above = hooked.select(F.col("node").alias("up"), F.col("component").alias("top"))
         jumped = hooked.join(above, F.col("component") == F.col("up")).select("node", "was", F.least("component", "top").alias("component"))
-        jumped = store.cut(jumped, "labels")
+        jumped = store.cut(store.gathered(jumped), "labels")
         labels = jumped.select("node", "component")
         if jumped.where("component != was").isEmpty():
             return labels

@@ -100,6 +100,7 @@ def signatures(documents: DataFrame, depth: int, trees: int = TREES) -> DataFram
                 sizes = np.diff(ends)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, trees, 0)))), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_set_ids(hashes, ends), pa.binary()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "text_hash", "set_id", "shingles", "keys"])
+        store.trim()
 
     return df.mapInArrow(sign, f"doc_id {kind}, text_hash long, set_id binary, shingles long, keys array<long>")
 
@@ -108,7 +109,7 @@ def candidate_clusters(nodes: DataFrame) -> DataFrame:
     """node, cluster for the nodes (node long, keys) that share a prefix with another."""
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1").select(F.col("key").alias("_key"), "hub")
-    edges = keyed.join(store.cut(shared, "prefixes"), F.col("key") == F.col("_key")).where("node != hub")
+    edges = keyed.join(store.cut(store.gathered(shared), "prefixes"), F.col("key") == F.col("_key")).where("node != hub")
     found = components(edges.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     return found.withColumnRenamed("component", "cluster")
 
@@ -189,6 +190,8 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
                 group.append((*row, np.frombuffer(sets[i].as_buffer(), np.uint64)))
         if group:
             yield done(group, key[1])
+        del group
+        store.trim()
 
     return df.mapInArrow(run, "set_id binary, links long, top binary")
 
@@ -213,10 +216,11 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
     clusters = candidate_clusters(nodes)
     sizes = clusters.join(nodes.select("node", "shingles"), "node").groupBy("cluster").agg(F.count("*").alias("n"), F.sum("shingles").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("total") / BLOCK_SHINGLES)).alias("blocks")
-    sizes = store.cut(sizes.select(F.col("cluster").alias("_cluster"), blocks), "clusters")
+    sizes = store.cut(store.gathered(sizes.select(F.col("cluster").alias("_cluster"), blocks)), "clusters")
     placed = clusters.join(nodes.select("node", "set_id", "copies", "row"), "node").join(sizes, F.col("cluster") == F.col("_cluster"))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("blocks")))
-    placed = store.cut(placed.select("cluster", "blocks", "block", "set_id", "copies", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash")), "placed")
+    placed = placed.select("cluster", "blocks", "block", "set_id", "copies", F.col("row.doc_id").alias("_doc"), F.col("row.text_hash").alias("_hash"))
+    placed = store.cut(store.gathered(placed), "placed")
     wanted = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("_text"))
     wanted = wanted.join(placed.hint("merge"), (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))).select("cluster", "blocks", "block", "set_id", "copies", "_text")
 
@@ -226,6 +230,7 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
                 hashes, ends = shingle_sets(Texts.of(part.column(5)))
                 sets = [hashes[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(5)), pa.array(sets, pa.binary())], names=["cluster", "blocks", "block", "set_id", "copies", "set"])
+        store.trim()
 
     sets = wanted.mapInArrow(reshingle, "cluster long, blocks long, block long, set_id binary, copies long, set binary")
     paired = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
@@ -233,10 +238,10 @@ def joined(documents: DataFrame, threshold: float = THRESHOLD, recall: float = R
     links = checked.groupBy("set_id").agg(F.sum("links").alias("links"))
     classes = components(checked.where("set_id != top").select(F.col("set_id").alias("a"), F.col("top").alias("b")))
     known = nodes.select("set_id", "copies", "least").join(links, "set_id", "left").join(classes.withColumnsRenamed({"node": "set_id", "component": "class"}), "set_id", "left")
-    known = store.cut(known.withColumn("class", F.coalesce("class", "set_id")), "known")
-    least = store.cut(known.groupBy("class").agg(F.min("least").alias("class_id")).withColumnRenamed("class", "_class"), "classes")
+    known = store.cut(store.gathered(known.withColumn("class", F.coalesce("class", "set_id"))), "known")
+    least = store.cut(store.gathered(known.groupBy("class").agg(F.min("least").alias("class_id")).withColumnRenamed("class", "_class")), "classes")
     found = known.join(least, F.col("class") == F.col("_class")).select(F.col("set_id").alias("_set"), "class", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = rows.join(store.cut(found, "found"), F.col("set_id") == F.col("_set"), "left")
+    out = rows.join(store.cut(store.gathered(found), "found"), F.col("set_id") == F.col("_set"), "left")
     alone = F.col("set_id").isNull()
     return out.select("doc_id", "text_hash", "class", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"), F.col("shingles").alias("n_shingles"))
 
@@ -250,10 +255,10 @@ def one_of_each(documents: DataFrame, **how) -> DataFrame:
     p = store.prefix(documents)
     found = joined(documents, **how)
     keep = found.where("n_shingles > 0").groupBy("class").agg(F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.count("*").alias("n"))
-    keep = store.cut(keep.select(F.col("row.doc_id").alias(f"{p}_doc"), F.col("row.text_hash").alias(f"{p}_hash"), F.col("n").alias(f"{p}_n")), "kept")
+    keep = store.cut(store.gathered(keep.select(F.col("row.doc_id").alias(f"{p}_doc"), F.col("row.text_hash").alias(f"{p}_hash"), F.col("n").alias(f"{p}_n"))), "kept")
     blank = documents.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     full = documents.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col(f"{p}_doc")) & (F.xxhash64("text") == F.col(f"{p}_hash")))
     columns = [F.col(f"`{c}`") for c in documents.columns]
     first = F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(f"{p}_row")
     several = full.where(f"{p}_n > 1").groupBy(f"{p}_doc", f"{p}_hash").agg(first).select(f"{p}_row.*")
-    return full.where(f"{p}_n = 1").select(*columns).unionByName(several).unionByName(blank.select(*columns))
+    return full.where(f"{p}_n = 1").select(*columns).unionByName(store.gathered(several)).unionByName(store.gathered(blank.select(*columns)))

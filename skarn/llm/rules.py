@@ -99,6 +99,7 @@ def rule_statistics(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -
             for part in pieces(batch, "_text"):
                 found = count_rules(Texts.of(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in names), *(pa.array(v) for v in found.values())], names=[*names, *found])
+        store.trim()
 
     fields = [f"{k} {kept.schema[k].dataType.simpleString()}" for k in names]
     out = kept.mapInArrow(count, ", ".join([*fields, *(f"{c} long" for c in BASE + MORE)]))
@@ -273,5 +274,6 @@ def keep_good(documents: DataFrame, labels: DataFrame, **fit) -> DataFrame:
                 s = count_rules(Texts.of(part.column(part.schema.get_field_index("text"))))
                 failed = (s["n_words"] < LEAST_WORDS) | (100 * s["n_repeat_words"] > MOST_REPEATED * s["n_words"])
                 yield part.filter(pa.array(~failed & (m.forest.scores(features(s)) < m.cut)))
+        store.trim()
 
     return documents.mapInArrow(keep, documents.schema)

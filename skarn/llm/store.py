@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import sys
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only on a local master, where no shared folder need be named.
 LOCAL_FOLDER = "file:///tmp/checkpoints/skarn"
 
+#: Files that a gathered table has for each core of the cluster.
+FILES_A_CORE = 4
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -39,6 +45,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in FILES_A_CORE partitions for each core at most, whose shuffle partitions a task takes one after the other.
+
+    For tables of short rows: without Hadoop's native library a file that is written to a local folder makes the executor launch
+    processes to set permissions, however few rows the file has.
+    """
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def prefix(df: DataFrame) -> str:
     """A beginning of helper columns' names that no column of df has."""
     out = "_skarn"
@@ -57,6 +72,13 @@ def least_hashes(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     return df.where(h < int(share * (1 << 40))).orderBy(h, *df.columns).limit(rows)
 
 
+def trim() -> None:
+    """Give back what a Python worker no longer uses; workers stay, and others' tasks need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this library from the driver's path, if it isn't installed on them."""
     root = str(Path(__file__).resolve().parents[2])

@@ -266,6 +266,7 @@ def write_tokens(documents: DataFrame, tokenizer_path: str, end_id: int, folder:
             fs.move(own, f"{root}/part-{number:06d}.ids.zst")
             ids = sum(x[-1] for x in writer.index)
             yield pa.RecordBatch.from_pydict({"file": pa.array([number], pa.int64()), "path": [f"{folder}/part-{number:06d}.ids.zst"], "documents": pa.array([n], pa.int64()), "ids": pa.array([ids], pa.int64()), "bytes": pa.array([size], pa.int64())})
+        store.trim()
 
     return store.cut(df.mapInArrow(write, "file long, path string, documents long, ids long, bytes long"), "token-files")
 
